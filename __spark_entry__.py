@@ -98,7 +98,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return _rounded(text.score(model, t).drop("prob_text"), "prob_max")
 
     def svm_scores(t):
-        return text.score(text.fit_text(text.training_set(t), "hashing", "linear_svm"), t)
+        train = text.training_set(t)
+        return text.score(text.fit_text(train, "hashing", "linear_svm", features=1 << 16), t)
 
     def accuracy(t):
         train, test = text.held_out(text.training_set(t))
@@ -106,12 +107,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return _rounded(text.evaluate(scored), "accuracy", "recall_0", "recall_1")
 
     def comparison(t):
-        return text.compare_models(
-            text.training_set(t, keep=["product"]),
-            feature_sets=((), ("product",)),
-            vectorizers=("count", "tfidf"),
-            folds=2,
+        combinations = (
+            ((), "count", "complement_nb"),
+            ((), "tfidf", "complement_nb"),
+            ((), "bigram", "complement_nb"),
+            (("product",), "count", "complement_nb"),
+            ((), "tfidf", "linear_svm"),
         )
+        train = text.training_set(t, keep=["product"])
+        return text.compare_models(train, combinations, folds=2, features=1 << 16, iterations=10)
 
     return {
         "missing_profile": on(*PROFILE_COLUMNS, then=profile.missing_profile),

@@ -7,18 +7,22 @@ its known tokens. So per token only ln(t_c + alpha) has to meet the texts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from case_insights.functions.tokens import tokens
+from case_insights.sources.durable import kept
 from case_insights.sources.schema import NARRATIVE
 
+_FREQUENT_BYTES = 256
+
 
 def token_counts(train: DataFrame, classes: Sequence[float]) -> DataFrame:
     """(token, n0, n1, ...): occurrences of each token in each class. Counts are combined before the
-    shuffle, so a token that is everywhere costs one row per task and class."""
+    shuffle, so a token that is everywhere costs one row per task."""
     words = train.select("label", F.explode(tokens(F.col(NARRATIVE))).alias("token"))
     return words.groupBy("token").agg(
         *(F.count_if(F.col("label") == c).alias(f"n{i}") for i, c in enumerate(classes))
@@ -30,66 +34,94 @@ def complement_nb(
     texts: DataFrame,
     classes: Sequence[float] = (0.0, 1.0),
     smoothing: float = 1.0,
-    frequent_share: float = 0.001,
+    broadcast_bytes: int = 32 << 20,
+    frequent_share: float = 1e-5,
 ) -> DataFrame:
     """(id, prediction, prob_max in percent) for every row of ``texts``, learnt from ``train``.
 
-    Equal scores go to the earlier class. A token making up ``frequent_share`` or more of the
-    training tokens is frequent; at most 1 / frequent_share tokens can be, so their weights are
-    broadcast safely. Texts add up frequent tokens where they are read, which leaves one row per
-    text for all of them and one row per text and rarer token. Only those rows meet the rest of the
-    vocabulary, in a join where no training token holds a large share.
+    Learning runs at once and keeps its token counts on shared storage; scoring is lazy. Equal scores
+    go to the earlier class. A vocabulary of at most ``broadcast_bytes`` is sent to all tasks, and
+    texts are scored where they are read. A larger one is split by ``frequent_share``, see
+    ``_score_split``; the results are the same.
     """
     index = range(len(classes))
-    counts = token_counts(train, classes)
-    seen = sum(F.col(f"n{i}") for i in index)
-    totals = counts.agg(
-        F.count(F.lit(1)).alias("v"), *(F.sum(f"n{i}").alias(f"n{i}") for i in index)
+    counts = kept(token_counts(train, classes))
+    size = counts.agg(
+        F.count(F.lit(1)).alias("v"),
+        F.sum(F.octet_length("token") + 8 * len(classes)).alias("bytes"),
+        *(F.sum(f"n{i}").alias(f"n{i}") for i in index),
+    ).first()
+    seen = sum(size[f"n{i}"] or 0 for i in index)
+    weights = counts.select(
+        "token",
+        sum(F.col(f"n{i}") for i in index).alias("seen"),
+        F.lit(1).alias("hit"),
+        *(
+            F.log(sum(F.col(f"n{j}") for j in index if j != i) + F.lit(smoothing)).alias(f"w{i}")
+            for i in index
+        ),
     )
-    all_seen = totals.select(seen).scalar()
+    words = texts.select("id", F.explode_outer(tokens(F.col(NARRATIVE))).alias("token"))
+    if (size["bytes"] or 0) <= broadcast_bytes:
+        hits = words.join(F.broadcast(weights.drop("seen")), "token", "left")
+        sums = hits.groupBy("id").agg(
+            F.count("hit").alias("known"),
+            *(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"w{i}") for i in index),
+        )
+    else:
+        sums = _score_split(words, weights, frequent_share * seen, len(classes))
+    base = [
+        math.log(seen - (size[f"n{i}"] or 0) + smoothing * size["v"]) if size["v"] else 0.0
+        for i in index
+    ]
+    scores = sums.select(
+        "id", *((F.col("known") * base[i] - F.col(f"w{i}")).alias(f"s{i}") for i in index)
+    )
+    return _decide(scores, classes)
 
-    def base(i: int) -> Column:
-        others = sum(F.col(f"n{j}") for j in index if j != i)
-        return totals.select(F.log(others + smoothing * F.col("v"))).scalar()
 
-    def weight(i: int) -> Column:
-        others = sum(F.col(f"n{j}") for j in index if j != i)
-        return F.log(others + F.lit(smoothing))
+def _score_split(
+    words: DataFrame, weights: DataFrame, frequent: float, n_classes: int
+) -> DataFrame:
+    """(id, known, w0, ...): sums of token weights for a vocabulary too large to broadcast.
 
-    frequent = seen >= frequent_share * all_seen
-    weights = counts.select("token", frequent.alias("frequent"), *(weight(i).alias(f"w{i}") for i in index))
-    often = weights.filter("frequent").drop("frequent").withColumn("hit", F.lit(1))
-    rarely = weights.filter("not frequent").select(
+    Tokens seen ``frequent`` times or more in training are broadcast. With ``frequent`` a share s of
+    all tokens seen, there can be at most 1 / s of them, and long ones are left out, so their size is
+    bounded. Texts add up frequent tokens where they are read, which leaves one row per text for all
+    of them and one row per text and rarer token. Only those rows meet the rest of the vocabulary, in
+    a join where no training token holds more than that share.
+    """
+    index = range(n_classes)
+    often = (F.col("seen") >= frequent) & (F.octet_length("token") <= _FREQUENT_BYTES)
+    near = weights.filter(often).drop("seen")
+    far = weights.filter(~often).select(
         F.col("token").alias("key"),
         F.lit("").alias("part"),
-        F.lit(1).alias("found"),
+        F.col("hit").alias("found"),
         *(F.col(f"w{i}").alias(f"r{i}") for i in index),
     )
-
-    words = texts.select("id", F.explode_outer(tokens(F.col(NARRATIVE))).alias("token"))
-    near = words.join(F.broadcast(often), "token", "left")
-    per_text = near.groupBy("id", F.when(F.col("hit").isNull(), F.col("token")).alias("rest")).agg(
-        F.count("token").alias("tf"),
-        F.count("hit").alias("known"),
-        *(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"w{i}") for i in index),
+    per_text = (
+        words.join(F.broadcast(near), "token", "left")
+        .groupBy("id", F.when(F.col("hit").isNull(), F.col("token")).alias("rest"))
+        .agg(
+            F.count("token").alias("tf"),
+            F.count("hit").alias("known"),
+            *(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"w{i}") for i in index),
+        )
     )
     # A text's own row of frequent tokens has no partner. Its id in the key spreads those rows.
     keyed = per_text.withColumn("key", F.coalesce("rest", F.lit(""))).withColumn(
         "part", F.when(F.col("rest").isNull(), F.col("id").cast("string")).otherwise("")
     )
-    joined = keyed.join(rarely, ["key", "part"], "left")
-    tf, found = F.col("tf"), F.col("found").isNotNull()
-    sums = joined.groupBy("id").agg(
-        F.sum(F.col("known") + F.when(found, tf).otherwise(0)).alias("known"),
+    joined = keyed.join(far, ["key", "part"], "left")
+    tf = F.when(F.col("found").isNotNull(), F.col("tf")).otherwise(0)
+    return joined.groupBy("id").agg(
+        F.sum(F.col("known") + tf).alias("known"),
         *(
-            F.sum(F.col(f"w{i}") + F.when(found, tf * F.col(f"r{i}")).otherwise(0.0)).alias(f"w{i}")
+            F.sum(F.col(f"w{i}") + tf * F.coalesce(f"r{i}", F.lit(0.0))).alias(f"w{i}")
             for i in index
         ),
     )
-    scores = sums.select(
-        "id", *((F.col("known") * base(i) - F.col(f"w{i}")).alias(f"s{i}") for i in index)
-    )
-    return _decide(scores, classes)
 
 
 def _decide(scores: DataFrame, classes: Sequence[float]) -> DataFrame:

@@ -27,8 +27,6 @@ from case_insights.functions.tokens import TOKEN_PATTERN
 from case_insights.plans.trends import MONETARY, NON_MONETARY
 from case_insights.sources.schema import NARRATIVE, RESPONSE
 
-_FEATURES = 1 << 18
-
 
 def training_set(
     c: DataFrame, responses: tuple[str, str] = (MONETARY, NON_MONETARY), keep: Sequence[str] = ()
@@ -52,30 +50,36 @@ def random_narrative(t: DataFrame, n: int = 1, seed: int = 0) -> DataFrame:
     return texts.orderBy(_draw(seed), "id").limit(n)
 
 
+def _bucket(seed: int) -> Column:
+    return F.conv(F.substring(_draw(seed), 1, 8), 16, 10).cast("bigint")
+
+
 def held_out(t: DataFrame, percent: int = 20, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(train, test), split by a hash of the id."""
-    bucket = F.conv(F.substring(_draw(seed), 1, 8), 16, 10).cast("bigint") % 100
-    return t.filter(bucket >= percent), t.filter(bucket < percent)
+    part = _bucket(seed) % 100
+    return t.filter(part >= percent), t.filter(part < percent)
 
 
-def _stages(vectorizer: str, classifier: str, categories: Sequence[str]) -> list:
+def _stages(
+    vectorizer: str, classifier: str, categories: Sequence[str], features: int, iterations: int
+) -> list:
     words = RegexTokenizer(
         inputCol=NARRATIVE, outputCol="words", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True
     )
     out = "text" if categories else "features"
     if vectorizer == "count":
-        text = [CountVectorizer(inputCol="words", outputCol=out, vocabSize=_FEATURES)]
+        text = [CountVectorizer(inputCol="words", outputCol=out, vocabSize=features)]
     elif vectorizer == "hashing":
-        text = [HashingTF(inputCol="words", outputCol=out, numFeatures=_FEATURES)]
+        text = [HashingTF(inputCol="words", outputCol=out, numFeatures=features)]
     elif vectorizer == "tfidf":
         text = [
-            HashingTF(inputCol="words", outputCol="tf", numFeatures=_FEATURES),
+            HashingTF(inputCol="words", outputCol="tf", numFeatures=features),
             IDF(inputCol="tf", outputCol=out),
         ]
     elif vectorizer == "bigram":
         text = [
             NGram(inputCol="words", outputCol="grams", n=2),
-            HashingTF(inputCol="grams", outputCol=out, numFeatures=_FEATURES),
+            HashingTF(inputCol="grams", outputCol=out, numFeatures=features),
         ]
     else:
         raise ValueError(f"unknown vectorizer {vectorizer!r}")
@@ -91,7 +95,7 @@ def _stages(vectorizer: str, classifier: str, categories: Sequence[str]) -> list
     if classifier == "complement_nb":
         model = NaiveBayes(modelType="complement", smoothing=1.0)
     elif classifier == "linear_svm":
-        model = LinearSVC(maxIter=20, regParam=0.01)
+        model = LinearSVC(maxIter=iterations, regParam=0.01)
     else:
         raise ValueError(f"unknown classifier {classifier!r}")
     return [words, *text, *extra, model]
@@ -102,14 +106,19 @@ def fit_text(
     vectorizer: str = "count",
     classifier: str = "complement_nb",
     categories: Sequence[str] = (),
+    features: int = 1 << 18,
+    iterations: int = 20,
 ) -> PipelineModel:
     """Fit vectorizer and classifier on (narrative, label) and the category columns named.
 
-    'count' keeps the 2^18 most frequent tokens; 'hashing', 'tfidf' and 'bigram' hash all of them
-    into 2^18 features; ``complement_nb`` in the operators has neither bound. Save the model with
+    'count' keeps the ``features`` most frequent tokens; 'hashing', 'tfidf' and 'bigram' hash all of
+    them into that many. The model's size is bounded by it; ``complement_nb`` in the operators has no
+    such bound. ``iterations`` is for the linear SVM. Save the model with
     ``model.write().overwrite().save(path)`` and load it with ``PipelineModel.load(path)``.
     """
-    return Pipeline(stages=_stages(vectorizer, classifier, categories)).fit(train)
+    # The fit passes over the training rows many times; spread by id, every pass is even.
+    stages = _stages(vectorizer, classifier, categories, features, iterations)
+    return Pipeline(stages=stages).fit(train.repartition("id"))
 
 
 def score(model: PipelineModel, t: DataFrame) -> DataFrame:
@@ -140,33 +149,40 @@ def evaluate(scored: DataFrame) -> DataFrame:
     )
 
 
+# (category columns used beside the text, vectorizer, classifier)
+COMBINATIONS = tuple(
+    ((), vectorizer, classifier)
+    for vectorizer in ("count", "hashing", "tfidf", "bigram")
+    for classifier in ("complement_nb", "linear_svm")
+)
+
+
 def compare_models(
     train: DataFrame,
-    feature_sets: Sequence[Sequence[str]] = ((),),
-    vectorizers: Sequence[str] = ("count", "hashing", "tfidf", "bigram"),
-    classifiers: Sequence[str] = ("complement_nb", "linear_svm"),
+    combinations: Sequence[tuple[Sequence[str], str, str]] = COMBINATIONS,
     folds: int = 3,
     parallelism: int = 4,
+    features: int = 1 << 18,
+    iterations: int = 20,
 ) -> DataFrame:
-    """(feature_set, vectorizer, classifier, accuracy): cross-validated accuracy of every combination,
-    best first. A feature set lists the category columns used beside the text. Folds come from a hash
-    of the id, so they stay the same when tasks run again."""
-    combos = [(f, v, c) for f in feature_sets for v in vectorizers for c in classifiers]
+    """(feature_set, vectorizer, classifier, accuracy): cross-validated accuracy of each combination,
+    best first. Folds come from a hash of the id, so they stay the same when tasks run again."""
     pipeline = Pipeline(stages=[])
     grid = ParamGridBuilder().addGrid(
-        pipeline.stages, [_stages(v, c, f) for f, v, c in combos]
-    ).build()
-    fold = (F.conv(F.substring(_draw(0), 1, 8), 16, 10).cast("bigint") % folds).cast("int")
+        pipeline.stages,
+        [_stages(v, c, f, features, iterations) for f, v, c in combinations],
+    )
     fitted = CrossValidator(
         estimator=pipeline,
-        estimatorParamMaps=grid,
+        estimatorParamMaps=grid.build(),
         evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
         numFolds=folds,
         foldCol="fold",
         parallelism=parallelism,
-    ).fit(train.withColumn("fold", fold))
+    ).fit(train.repartition("id").withColumn("fold", (_bucket(0) % folds).cast("int")))
     rows = [
-        ("+".join(["text", *f]), v, c, float(a)) for (f, v, c), a in zip(combos, fitted.avgMetrics)
+        ("+".join(["text", *f]), v, c, float(a))
+        for (f, v, c), a in zip(combinations, fitted.avgMetrics)
     ]
     return train.sparkSession.createDataFrame(
         rows, "feature_set string, vectorizer string, classifier string, accuracy double"

@@ -1,0 +1,25 @@
+"""Results kept on shared storage, so that a lost executor does not make them start over."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="run-")
+    sc.setCheckpointDir(path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Compute ``df`` now and read it back from the cluster's checkpoint folder from here on."""
+    _ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
