@@ -200,7 +200,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "product_trend_slice": on(
             "date_received", "product",
-            then=lambda c: trends.category_trend_slice(product_trend(c), PRODUCT),
+            then=lambda c: trends.one_category_trend(c, "product", PRODUCT),
         ),
         "top_issue_by_year": on("date_received", "issue", then=trends.top_issue_by_year),
         "response_share": on(RESPONSE, then=outcomes.response_share),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from case_insights.functions.columns import is_known, or_unknown, percent, two_decimals
@@ -76,9 +76,12 @@ def _pairs(c: DataFrame) -> DataFrame:
     )
 
 
+def _both_known() -> Column:
+    return is_known(F.col("issue")) & is_known(F.col("subissue"))
+
+
 def _known_pairs(pairs: DataFrame, min_count: int) -> DataFrame:
-    known = is_known(F.col("issue")) & is_known(F.col("subissue"))
-    return pairs.filter((F.col("cnt") >= min_count) & known)
+    return pairs.filter((F.col("cnt") >= min_count) & _both_known())
 
 
 def issue_subissue_counts(c: DataFrame, min_count: int = 5, known_only: bool = False) -> DataFrame:
@@ -128,8 +131,10 @@ def top_issue_subissue(
     order of a stacked bar. ``lookup`` is (issue, issue_abbrev).
     """
     everything = _pairs(c)
-    total = everything.filter(is_known(F.col("issue"))).agg(F.sum("cnt")).scalar()
-    kept = _known_pairs(everything, min_count)
+    # Both conditions look at counts, so they stay above the one aggregate that all parts share;
+    # plain filters would reach the scan and split it into two reads of the table.
+    total = everything.agg(F.sum(F.when(is_known(F.col("issue")), F.col("cnt")))).scalar()
+    kept = everything.filter(F.when(_both_known(), F.col("cnt")) >= min_count)
     largest = top_issues(issue_totals(kept), issues).select("issue")
     shown = top_rows(kept.join(largest, "issue", "left_semi"), "cnt", pairs, ["issue", "subissue"])
     return (

@@ -63,9 +63,21 @@ def category_trend_wide(trend: DataFrame, values: Sequence[str] | None = None) -
 
 
 def category_trend_slice(trend: DataFrame, value: str) -> DataFrame:
+    """One category of a stored trend."""
     return trend.filter(F.col("category") == value).select("date_received", "mva")
 
 
+def one_category_trend(c: DataFrame, category: str, value: str, window: int = 30) -> DataFrame:
+    """The same from the table itself: a conditional count per day replaces the zero-filling."""
+    days = (
+        c.filter(F.col(category).isNotNull() & F.col("date_received").isNotNull())
+        .groupBy(_day())
+        .agg(F.count_if(F.col(category) == value).alias("cnt"))
+    )
+    trend = trailing_mean(days, "cnt", "mva", "date_received", window)
+    return trend.select("date_received", "mva").orderBy("date_received")
+
+
 def _outcomes() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("total"),

@@ -5,11 +5,13 @@ import re
 import pytest
 
 import __spark_entry__ as e
+from case_insights.operators.chi2 import chi2
 from case_insights.operators.complement_nb import complement_nb
-from case_insights.plans import text, trends
-from case_insights.sources.schema import RESPONSE
+from case_insights.operators.contingency import contingency, expected, pair_cells
+from case_insights.plans import distribution, outcomes, text, trends
+from case_insights.sources.lookups import ISSUE_ABBREVIATIONS, lookup_frame
+from case_insights.sources.schema import RESPONSE, read_complaints
 from case_insights.sources.sinks import write_complaints
-from case_insights.sources.schema import read_complaints
 from case_insights.sources.star import star_complaints, star_narratives
 
 SF = "/root/testdata/sf0.001"
@@ -59,7 +61,7 @@ def scans(df) -> int:
     "result",
     [
         lambda c: trends.category_trend(c, "product"),
-        lambda c: trends.category_trend_slice(trends.category_trend(c, "product"), "Brand#2"),
+        lambda c: trends.one_category_trend(c, "product", "Brand#2"),
         lambda c: trends.relief_proportion_by_company(c),
         lambda c: trends.relief_proportion_by_year(c),
     ],
@@ -70,11 +72,6 @@ def test_table_is_read_once(flat, result):
 
 @pytest.mark.parametrize("name", ["top_issue_subissue", "chi2_weighted", "chi2_expected", "submission_crosstab"])
 def test_report_tables_read_the_table_once(spark, flat, name):
-    from case_insights.operators.chi2 import chi2
-    from case_insights.operators.contingency import contingency, expected, pair_cells
-    from case_insights.plans import distribution
-    from case_insights.sources.lookups import ISSUE_ABBREVIATIONS, lookup_frame
-
     lookup = lookup_frame(spark, ISSUE_ABBREVIATIONS, "issue", "issue_abbrev")
     cells = pair_cells(flat, "submitted_via", RESPONSE)
     df = {
@@ -87,8 +84,6 @@ def test_report_tables_read_the_table_once(spark, flat, name):
 
 
 def test_filters_and_columns_reach_the_scan(flat):
-    from case_insights.plans import distribution, outcomes
-
     plan = formatted(outcomes.dispute_by_response(flat))
     assert re.search(r"PushedFilters: \[.*In\(company_response_to_consumer", plan)
     assert "ReadSchema: struct<company_response_to_consumer:string,consumer_disputed:boolean>" in plan

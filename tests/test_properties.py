@@ -79,6 +79,11 @@ def test_long_and_wide_trends_agree(flat):
     assert key(back.select("date_received", "category", "mva")) == key(long.select("date_received", "category", "mva"))
 
 
+def test_one_category_is_its_part_of_the_trend(flat):
+    part = trends.category_trend_slice(trends.category_trend(flat, RESPONSE), "Closed")
+    assert key(trends.one_category_trend(flat, RESPONSE, "Closed")) == key(part)
+
+
 def test_trend_is_dense(flat):
     t = trends.category_trend(flat, "product")
     assert t.count() == t.select("date_received").distinct().count() * t.select("category").distinct().count()
