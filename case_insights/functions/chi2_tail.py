@@ -4,12 +4,17 @@ small Python helper; it runs on result rows only, never on data rows."""
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+# Executors get this module's code with the task and need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def upper_gamma(a: float, x: float) -> float:
     """Regularised upper incomplete gamma function Q(a, x)."""

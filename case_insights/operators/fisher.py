@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,36 +13,39 @@ _BLOCK = 4096
 _TASKS = 32
 
 
-def _log_factorial_rest(m: Column) -> Column:
-    """ln m! - (m ln m - m): exact for m < 16, Stirling's series beyond (error below 1e-13)."""
-    small = F.array(
-        F.lit(0.0), *(F.lit(math.lgamma(i + 1) - i * math.log(i) + i) for i in range(1, 16))
-    )
-    big = F.greatest(m, F.lit(16.0))
-    r = 1 / (big * big)
-    series = (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / big
-    return F.when(
-        m < 16, F.get(small, F.greatest(m, F.lit(0.0)).cast("int"))
-    ).otherwise(0.5 * F.log(2 * math.pi * big) + series)
+# ln m! - (m ln m - m) for m = 0 .. 15.
+_SMALL = ", ".join(
+    f"{math.lgamma(m + 1) - (m * math.log(m) - m if m else 0):.17g}D" for m in range(16)
+)
+
+
+def _log_factorial_rest(m: str) -> str:
+    """ln m! - (m ln m - m): from the list for m < 16, beyond by Stirling's series (error < 1e-13)."""
+    series = f"(1/12D - (1/360D - (1/1260D - 1/1680D/{m}/{m})/{m}/{m})/{m}/{m})/{m}"
+    return f"CASE WHEN {m} < 16 THEN get(array({_SMALL}), int({m})) ELSE ln(2*pi()*{m})/2 + {series} END"
 
 
-def _deviance(o: Column, e: Column) -> Column:
+def _deviance(o: str, e: str) -> str:
     """o ln(o / e) - (o - e), without the cancellation of its large terms."""
-    return F.when(o == 0, e).otherwise(o * F.log1p((o - e) / e) - (o - e))
+    return f"CASE WHEN {o} = 0 THEN {e} ELSE {o}*log1p(({o} - {e})/{e}) - ({o} - {e}) END"
 
 
-def _log_mass(k: Column) -> Column:
-    """Log-probability of the table whose first cell is ``k``, under the margins r1, r2, c1, c2."""
-    r1, r2, c1, c2, n = (F.col(x) for x in ("r1", "r2", "c1", "c2", "n"))
+def _log_mass(k: str) -> Column:
+    """Log-probability of the table whose first cell is ``k``, under the margins r1, r2, c1, c2. Their
+    own part of it is the column ``fixed``."""
     cells = [
-        (k, r1 * c1 / n),
-        (r1 - k, r1 * c2 / n),
-        (c1 - k, r2 * c1 / n),
-        (r2 - c1 + k, r2 * c2 / n),
+        (f"{k}", "(r1*c1/n)"),
+        (f"(r1 - {k})", "(r1*c2/n)"),
+        (f"(c1 - {k})", "(r2*c1/n)"),
+        (f"(r2 - c1 + {k})", "(r2*c2/n)"),
     ]
-    margins = reduce(add, (_log_factorial_rest(m) for m in (r1, r2, c1, c2)))
-    inner = reduce(add, (_deviance(o, e) + _log_factorial_rest(o) for o, e in cells))
-    return margins - _log_factorial_rest(n) - inner
+    parts = [f(*x) for o, e in cells for f, x in ((_deviance, (o, e)), (_log_factorial_rest, (o,)))]
+    return F.expr("fixed - " + " - ".join(f"({p})" for p in parts))
+
+
+def _fixed() -> Column:
+    margins = " + ".join(f"({_log_factorial_rest(m)})" for m in ("r1", "r2", "c1", "c2"))
+    return F.expr(f"{margins} - ({_log_factorial_rest('n')})")
 
 
 def fisher_exact(
@@ -93,22 +94,24 @@ def fisher_exact(
     reach = 249 + F.sqrt(62000 + 1490 * spread)
     low = F.ceil(F.greatest(F.lit(0.0), r1 - F.col("c2"), mean - reach))
     high = F.floor(F.least(r1, c1, mean + reach))
-    blocks = one.select(
+    proper = F.col("proper")
+    blocks = one.withColumn("fixed", F.when(proper, _fixed())).select(
         "*",
-        F.when(F.col("proper"), low).otherwise(0).alias("low"),
-        F.when(F.col("proper"), high).otherwise(0).alias("high"),
+        F.when(proper, _log_mass("a")).alias("observed"),
+        F.when(proper, low).otherwise(0).alias("low"),
+        F.when(proper, high).otherwise(0).alias("high"),
     ).withColumn("block", F.explode(F.sequence("low", "high", F.lit(_BLOCK).cast("bigint"))))
     last = F.least(F.col("block") + (_BLOCK - 1), F.col("high"))
     points = blocks.repartition(_TASKS, "block").withColumn("k", F.explode(F.sequence("block", last)))
-    log_p = F.when(F.col("proper"), _log_mass(F.col("k").cast("double")))
-    log_observed = F.when(F.col("proper"), _log_mass(a))
-    summed = points.select("a", "b", "c", "d", "proper", log_p.alias("lp"), log_observed.alias("lo"))
-    p_value = F.when(F.first("proper"), F.least(F.coalesce(
-        F.sum(F.when(F.col("lp") <= F.col("lo") + 1e-7, F.exp("lp"))), F.lit(0.0)
-    ), F.lit(1.0))).otherwise(1.0)
-    result = summed.agg(*(F.first(x).alias(x) for x in "abcd"), F.first("proper").alias("proper"), p_value.alias("p_value"))
+    log_p = F.when(proper, _log_mass("double(k)"))
+    counted = F.sum(F.when(log_p <= F.col("observed") + 1e-7, F.exp(log_p)))
+    p_value = F.when(F.first("proper"), F.least(F.coalesce(counted, F.lit(0.0)), F.lit(1.0)))
+    result = points.agg(
+        *(F.first(x).alias(x) for x in ("a", "b", "c", "d", "proper")),
+        F.coalesce(p_value, F.lit(1.0)).alias("p_value"),
+    )
     odds = (
-        F.when(~F.col("proper"), float("nan"))
+        F.when(~proper, float("nan"))
         .when(b * c > 0, F.try_divide(a * d, b * c))
         .otherwise(float("inf"))
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,14 +80,11 @@ def lookup_frame(
     spark: SparkSession, values: Mapping[str, str], key: str, value: str
 ) -> DataFrame:
     """A mapping as a two-column frame, for a left join. Spark sees how small it is."""
-    entries = F.create_map(*_literals(values))
-    return spark.range(0, 1, 1, 1).select(F.explode(entries).alias(key, value))
+    columns = {key: list(values.keys()), value: list(values.values())}
+    schema = pa.schema([(key, pa.string()), (value, pa.string())])
+    return spark.createDataFrame(pa.table(columns, schema=schema))
 
 
 def mapped(column: Column, values: Mapping[str, str]) -> Column:
     """A short fixed mapping as one expression, with no join."""
-    return F.element_at(F.create_map(*_literals(values)), column)
-
-
-def _literals(values: Mapping[str, str]) -> list[Column]:
-    return [F.lit(x) for item in values.items() for x in item]
+    return F.element_at(F.create_map(*(F.lit(x) for item in values.items() for x in item)), column)

@@ -30,34 +30,52 @@ _TABLES = {
 }
 
 
-def _columns() -> dict:
-    col, when = F.col, F.when
-    flags = F.concat("l_returnflag", "l_linestatus")
-    return {
-        "date_received": col("l_shipdate").cast("date"),
-        "product": col("p_brand"),
-        "subproduct": when(col("p_size") % 10 != 0, col("p_type")),
-        "issue": when(col("l_partkey") % 13 != 0, col("p_name")),
-        "subissue": when(col("l_orderkey") % 7 != 0, col("c_mktsegment")),
-        NARRATIVE: when(col("l_linenumber") % 3 != 0, col("p_name")),
-        "company_public_response": when(col("l_suppkey") % 5 != 0, col("s_name")),
-        "company_name": col("s_name"),
-        "state": when(col("c_custkey") % 11 != 0, col("n_name")),
-        "zip_code": when(
-            col("o_custkey") % 23 != 0,
-            F.lpad((col("o_custkey") % 100000).cast("string"), 5, "0"),
-        ),
-        "tags": when(col("l_quantity") > 40, F.lit("Older American")),
-        "consumer_consent_provided": when(col("l_linenumber") % 4 != 0, col("l_linestatus")),
-        "submitted_via": when(col("l_suppkey") % 17 != 0, col("o_orderpriority")),
-        RESPONSE: when(flags == "RO", "Closed")
-        .when(flags == "RF", "Closed with explanation")
-        .when(flags == "AF", "Closed with monetary relief")
-        .when(flags == "AO", "Closed with non-monetary relief")
-        .when(flags == "NO", "In progress"),
-        "timely_response": col("l_tax") < 0.07,
-        "consumer_disputed": when(col("o_orderstatus") != "P", col("l_quantity") > 25),
-    }
+_EXPRESSIONS = {
+    "date_received": "CAST(l_shipdate AS DATE)",
+    "product": "p_brand",
+    "subproduct": "CASE WHEN p_size % 10 != 0 THEN p_type END",
+    "issue": "CASE WHEN l_partkey % 13 != 0 THEN p_name END",
+    "subissue": "CASE WHEN l_orderkey % 7 != 0 THEN c_mktsegment END",
+    NARRATIVE: "CASE WHEN l_linenumber % 3 != 0 THEN p_name END",
+    "company_public_response": "CASE WHEN l_suppkey % 5 != 0 THEN s_name END",
+    "company_name": "s_name",
+    "state": "CASE WHEN c_custkey % 11 != 0 THEN n_name END",
+    "zip_code": "CASE WHEN o_custkey % 23 != 0 THEN lpad(string(o_custkey % 100000), 5, '0') END",
+    "tags": "CASE WHEN l_quantity > 40 THEN 'Older American' END",
+    "consumer_consent_provided": "CASE WHEN l_linenumber % 4 != 0 THEN l_linestatus END",
+    "submitted_via": "CASE WHEN l_suppkey % 17 != 0 THEN o_orderpriority END",
+    RESPONSE: """
+        CASE l_returnflag || l_linestatus
+          WHEN 'RO' THEN 'Closed'
+          WHEN 'RF' THEN 'Closed with explanation'
+          WHEN 'AF' THEN 'Closed with monetary relief'
+          WHEN 'AO' THEN 'Closed with non-monetary relief'
+          WHEN 'NO' THEN 'In progress'
+        END""",
+    "timely_response": "l_tax < 0.07",
+    "consumer_disputed": "CASE WHEN o_orderstatus != 'P' THEN l_quantity > 25 END",
+}
+
+# Column types of the tables, given so that no file is opened to infer them.
+_SCHEMAS = {
+    "lineitem": """l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT,
+        l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE,
+        l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ""",
+    "orders": """o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,
+        o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING""",
+    "customer": """c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE,
+        c_mktsegment STRING""",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "part": """p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT,
+        p_retailprice DOUBLE""",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def star_complaints(
@@ -68,7 +86,7 @@ def star_complaints(
     need = set().union(*(_TABLES.get(n, set()) for n in names))
 
     def table(name):
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return _table(spark, sf_dir, name)
 
     fact = table("lineitem")
     if "orders" in need:
@@ -87,22 +105,19 @@ def star_complaints(
         fact = fact.join(table("part"), F.col("l_partkey") == F.col("p_partkey"), "left")
     if "supplier" in need:
         fact = fact.join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    exprs = _columns()
-    return fact.select(*(exprs[n].alias(n) for n in names))
+    return fact.selectExpr(*(f"{_EXPRESSIONS[n]} AS {n}" for n in names))
 
 
 def star_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Narratives with their outcome: ``documents``, with ``labels.quality`` 1 as monetary and 0 as
     non-monetary relief, and documents without a label as cases closed with an explanation."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return documents.join(labels, "doc_id", "left").select(
-        F.col("doc_id").alias("id"),
-        F.col("text").alias(NARRATIVE),
-        F.when(F.col("quality") == 1, "Closed with monetary relief")
-        .when(F.col("quality") == 0, "Closed with non-monetary relief")
-        .otherwise("Closed with explanation")
-        .alias(RESPONSE),
-        F.col("lang").alias("product"),
-        F.col("source").alias("submitted_via"),
+    documents = _table(spark, sf_dir, "documents")
+    return documents.join(_table(spark, sf_dir, "labels"), "doc_id", "left").selectExpr(
+        "doc_id AS id",
+        f"text AS {NARRATIVE}",
+        f"""CASE quality WHEN 1 THEN 'Closed with monetary relief'
+                         WHEN 0 THEN 'Closed with non-monetary relief'
+                         ELSE 'Closed with explanation' END AS {RESPONSE}""",
+        "lang AS product",
+        "source AS submitted_via",
     )
