@@ -20,7 +20,14 @@ def upper_gamma(a: float, x: float) -> float:
     """Regularised upper incomplete gamma function Q(a, x)."""
     if x <= 0:
         return 1.0
-    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if a < 16:
+        scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    else:
+        # The same by Stirling's series, without the cancellation of large logarithms.
+        off = (x - a) / a
+        r = 1 / (a * a)
+        rest = (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / a
+        scale = math.sqrt(a / (2 * math.pi)) * math.exp(-a * (off - math.log1p(off)) - rest)
     if x < a + 1:
         # Power series of the lower function P = scale * sum x^n / (a (a+1) ... (a+n)).
         term = total = 1 / a

@@ -8,9 +8,11 @@ changing any result. Callers name the columns they need; only those tables are r
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from case_insights.sources.schema import COMPLAINT_SCHEMA, NARRATIVE, RESPONSE
 
@@ -56,26 +58,16 @@ _EXPRESSIONS = {
     "consumer_disputed": "CASE WHEN o_orderstatus != 'P' THEN l_quantity > 25 END",
 }
 
-# Column types of the tables, given so that no file is opened to infer them.
-_SCHEMAS = {
-    "lineitem": """l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT,
-        l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE,
-        l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ""",
-    "orders": """o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,
-        o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING""",
-    "customer": """c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE,
-        c_mktsegment STRING""",
-    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
-    "part": """p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT,
-        p_retailprice DOUBLE""",
-    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
-    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
-    "labels": "doc_id BIGINT, quality INT, toxic INT",
-}
+
+@cache
+def _schema(spark: SparkSession, path: str) -> StructType:
+    """Inferred once per table, since many queries read the same few tables."""
+    return spark.read.parquet(path).schema
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
 def star_complaints(
