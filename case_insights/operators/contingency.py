@@ -21,22 +21,22 @@ def pair_cells(
 
 
 def with_expected(cells: DataFrame) -> DataFrame:
-    """Adds both margins and the count expected under independence to each occurring cell."""
-    # The grand total reads the same aggregate, so its shuffle is reused, not computed again.
+    """Adds both margins and the count expected under independence to each occurring cell.
+
+    A row key may occur with very many column keys, so its cells are not brought together: margins
+    are partial sums joined back, and Spark broadcasts them or splits a hot key by their size. The
+    margins and the grand total read the same cells, whose shuffle is reused, not computed again.
+    """
+    rows = cells.groupBy("row").agg(F.sum("n").alias("row_total"))
+    cols = cells.groupBy("col").agg(F.sum("n").alias("col_total"))
     total = cells.agg(F.sum("n").cast("double")).scalar()
-    return cells.select(
-        "row",
-        "col",
-        "n",
-        F.sum("n").over(Window.partitionBy("row")).alias("row_total"),
-        F.sum("n").over(Window.partitionBy("col")).alias("col_total"),
-    ).withColumn(
-        "expected", F.col("row_total").cast("double") * F.col("col_total") / total
-    )
+    value = F.col("row_total").cast("double") * F.col("col_total") / total
+    return cells.join(rows, "row").join(cols, "col").withColumn("expected", value)
 
 
 def contingency(cells: DataFrame) -> DataFrame:
-    """The dense table: (row, col, n) for every row key with every column key, 0 where none."""
+    """The dense table: (row, col, n) for every row key with every column key, 0 where none. For
+    display; column keys are numbered in one task. The tests need only the occurring cells."""
     grid = _grid(cells)
     return (
         grid.join(cells, ["row", "col"], "left")
