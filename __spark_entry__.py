@@ -21,6 +21,12 @@ from case_insights.sources.lookups import DISPUTE_RESPONSES, PROFILE_COLUMNS, lo
 from case_insights.sources.schema import COMPLAINT_SCHEMA, NARRATIVE, RESPONSE
 from case_insights.sources.star import star_complaints, star_narratives
 
+try:  # the training-data operators and their pipeline may be absent
+    import corpus_pipeline
+    from case_insights.llm import entry as llm
+except ModuleNotFoundError:
+    corpus_pipeline = llm = None
+
 # Lookups over the bound data. They leave some keys out on purpose: those must come back as null.
 PRODUCT_LOOKUP = {f"Brand#{i}": f"B{i}" for i in range(1, 21)}
 ISSUE_LOOKUP = {
@@ -49,6 +55,13 @@ def _joined(df: DataFrame, column: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = _case_queries()
+    if llm:
+        found |= llm.queries() | {"pipeline": corpus_pipeline.run}
+    return found
+
+
+def _case_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def on(*columns: str, then: Callable[[DataFrame], DataFrame]):
         """A query over the fact table's ``columns``."""
         return lambda spark, sf: then(star_complaints(spark, sf, columns))
@@ -416,6 +429,15 @@ words AS (
 
 
 def oracle_sql() -> dict[str, str]:
+    found = _case_oracle()
+    if llm:
+        found |= llm.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
+
+
+def _case_oracle() -> dict[str, str]:
     def over(*parts: str, select: str) -> str:
         return "WITH " + ",".join([_COMPLAINTS, *parts]) + "\n" + select
 
