@@ -5,16 +5,57 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from case_insights.llm.ann import nearest_by_inner_product
+from case_insights.llm.decontaminate import find_leaks
+from case_insights.llm.extract import main_text
 from case_insights.llm.jaccard import jaccard_components
+from case_insights.llm.packing import pack_by_retrieval
+from case_insights.llm.ring import shard_by_ring
 from case_insights.llm.store import documents
+from case_insights.llm.substring import remove_repeats
+from case_insights.llm.toxicity import judge_toxicity
+from case_insights.llm.urlrules import judge_urls
+from case_insights.llm.wordpiece import byte_vocabulary, token_counts
+
+
+def vocabulary_path() -> str:
+    """The public byte-level vocabulary that the queries use; operators take any as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = documents(spark, sf, "embeddings")
+    return nearest_by_inner_product(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+def _without_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf)).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_posting_lists": _neighbours,
+        "op2_toxicity": lambda spark, sf: judge_toxicity(documents(spark, sf), documents(spark, sf, "labels")),
+        "op3_substring_dedup": _without_repeats,
+        "op4_ring_shards": lambda spark, sf: shard_by_ring(documents(spark, sf)),
+        "op5_decontaminate": lambda spark, sf: find_leaks(documents(spark, sf), documents(spark, sf, "benchmark")),
+        "op6_main_text": lambda spark, sf: main_text(documents(spark, sf, "pages")),
+        "op7_url_rules": lambda spark, sf: judge_urls(documents(spark, sf, "pages")),
+        "op8_retrieval_packing": lambda spark, sf: pack_by_retrieval(
+            documents(spark, sf), byte_vocabulary(vocabulary_path())
+        ),
+        "op9_token_counts": lambda spark, sf: token_counts(documents(spark, sf), byte_vocabulary(vocabulary_path())),
         "op10_ngram_jaccard": lambda spark, sf: jaccard_components(documents(spark, sf)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
+    """The operators learn, search approximately, walk automata or follow links, which SQL on whole tables can't
+    express or not in reasonable time; tests/llm compares them with brute force, round trips and held-out rows."""
     return {}

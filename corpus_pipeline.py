@@ -1,26 +1,67 @@
-"""Corpus preparation: stages over ``documents``, each written as Parquet and read again by the next."""
+"""Corpus preparation: stages over ``documents``, each written as Parquet and read again by the next.
+
+Each stage takes (spark, docs, sf_dir) and judges the documents it is given; all but the last return the columns
+of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from case_insights.llm.decontaminate import find_leaks
+from case_insights.llm.entry import vocabulary_path
 from case_insights.llm.jaccard import jaccard_components
+from case_insights.llm.packing import pack_by_retrieval
 from case_insights.llm.store import documents, saved
+from case_insights.llm.substring import remove_repeats
+from case_insights.llm.toxicity import fit_toxicity, toxicity_scores, training_rows
+from case_insights.llm.wordpiece import byte_vocabulary
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.7 stay. The model is fitted on labelled rows of ``docs``."""
+    model = fit_toxicity(training_rows(docs, documents(spark, sf_dir, "labels")))
+    return toxicity_scores(docs, model, keep=True).filter("score < 0.7").select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their word n-grams, the one with the smallest doc_id stays; documents
-    without words stay, as they are linked with nothing."""
-    keep = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """Of documents linked by their word n-grams, the one with the smallest doc_id stays; documents without words
+    stay, as they are linked with nothing."""
+    drop = jaccard_components(docs).filter("doc_id <> component_id").select("doc_id")
+    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose passages that stand in an earlier document; n_chars follows. Texts without one are unchanged."""
+    cut = remove_repeats(docs, keep=True)
+    changed = F.col("n_removed") > 0
+    return cut.withColumns({
+        "text": F.when(changed, F.col("kept")).otherwise(F.col("text")),
+        "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")),
+    }).select(docs.columns)
+
+
+def reject_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item stay."""
+    leaks = find_leaks(docs, documents(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 tokens, related documents together."""
+    return pack_by_retrieval(docs, byte_vocabulary(vocabulary_path()))
 
 
 STAGES = [
+    ("toxicity", reject_toxic),
     ("n-gram Jaccard join", one_of_each_group),
+    ("substring dedup", drop_repeated_passages),
+    ("benchmark decontamination", reject_leaks),
+    ("packing", pack),
 ]
 
-# Similarity components and trained models have no SQL form; tests compare with brute force.
+# A fitted model, components and retrieval have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
