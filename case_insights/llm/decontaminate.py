@@ -131,6 +131,8 @@ def randomised_svd(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
         return np.zeros((len(idf), RANK), np.float32)
     g = np.concatenate([np.frombuffer(s).reshape(-1, SKETCH) for _, s in found])
     core = random.T.astype(np.float64) @ g
+    if not core.any():
+        return np.zeros((len(idf), RANK), np.float32)
     value, vector = np.linalg.eigh((core + core.T) / 2)
     use = value > value.max() * 1e-9
     b = g @ (vector[:, use] / np.sqrt(value[use]))

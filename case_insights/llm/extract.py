@@ -349,7 +349,7 @@ def fit_blocks(pages: DataFrame) -> BoostedTrees:
         .select("html")
     )
     none = pages.sparkSession.createDataFrame([("",)], "html string")  # made pages are enough to learn from
-    found = sample.union(none).groupBy(F.lit(0)).applyInArrow(_trained, "model string").first()
+    found = sample.union(none).withColumn("one", F.lit(1)).groupBy("one").applyInArrow(_trained, "model string").first()
     base, depth, trees = json.loads(found.model)
     return BoostedTrees(base, depth, trees)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from case_insights.llm.store import saved
+from case_insights.llm.store import discard, saved
 
 
 def _to_smallest(edges: DataFrame, smaller_only: bool) -> DataFrame:
@@ -37,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = saved(edges.toDF("a", "b").filter("a <> b").distinct(), "edges")
     mark = None
     while True:
-        edges = saved(_to_smallest(_to_smallest(edges, False), True), "edges")
+        before, edges = edges, saved(_to_smallest(_to_smallest(edges, False), True), "edges")
+        discard(before)
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break

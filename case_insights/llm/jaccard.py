@@ -12,9 +12,10 @@ only those that can reach the bound are worth adding up:
   discarded if its overlap so far plus all that may follow stays below the bound of its two sizes.
 - What remains is decided by the exact overlap of the whole sets.
 
-Large groups of near copies would have a quadratic number of entries. Components need only enough of them,
-so ``leader_rounds`` products first link each row to one leader of a column; the last product skips
-entries within a component found so far, and loses none between different ones.
+Large groups of near copies would have a quadratic number of entries. Components need only enough of them, so
+the first products link each row to a number of ``leaders`` of a column, the smallest under as many hashes;
+rows of one group mostly have the same leaders. The last product skips entries within a component found so far,
+and loses none between different ones. No entry is decided twice.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from case_insights.llm import words as W
 from case_insights.llm.graph import components
-from case_insights.llm.store import saved
+from case_insights.llm.store import discard, saved
 
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -152,8 +153,7 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     need = F.ceil(F.lit(percent) * (F.col("an") + F.col("bn")) / F.lit(100 + percent))
     most = F.col("shared") + F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) - 1
     return (
-        rows.filter(f"100 * least(an, bn) >= {percent} * greatest(an, bn)")
-        .groupBy("a", "b")
+        rows.groupBy("a", "b")
         .agg(F.countDistinct("gram").alias("shared"), *(F.max(c).alias(c) for c in ("an", "bn", "ap", "bp")))
         .filter(most >= need)
         .select("a", "b", "an", "bn")
@@ -176,22 +176,55 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, filter_bi
         bitmap[(block - 1) * 4096 : block * 4096] = bits
     wanted = _wanted_sets(k, docs.sparkSession.sparkContext.broadcast(bytes(bitmap)))
     sets = docs.mapInArrow(wanted, "v long, grams binary")
-    sets = saved(sets.join(ends.distinct(), "v", "left_semi"), "sets").groupBy("v").agg(F.first("grams").alias("grams"))
-    return (
-        pairs.join(sets.toDF("b", "right_grams"), "b")
-        .join(sets.toDF("a", "left_grams"), "a")
+    sets = saved(sets.join(ends.distinct(), "v", "left_semi"), "sets")
+    # a task writes a set once, so each has a few rows at most; they are equal
+    one = sets.groupBy("v").agg(F.first("grams").alias("grams"))
+    links = saved(
+        pairs.join(one.toDF("b", "right_grams"), "b")
+        .join(one.toDF("a", "left_grams"), "a")
         .select("a", "b", "an", "bn", "left_grams", "right_grams")
         .mapInArrow(_overlaps, "a long, b long, an int, bn int, shared long")
         .filter(f"100 * shared >= {percent} * (an + bn - shared)")
-        .select("a", "b")
+        .select("a", "b"),
+        "links",
+    )
+    discard(sets)
+    return links
+
+
+def _product(rows: DataFrame, turn: int, leaders: int, percent: int) -> DataFrame:
+    """The shared n-grams a, an, ap, b, bn, bp of pairs of different components: of each row with each leader of its
+    column, or without ``leaders`` of all pairs of rows."""
+    near = f"100 * least(an, bn) >= {percent} * greatest(an, bn)"
+    near_h = f"100 * least(n, h.n) >= {percent} * greatest(n, h.n)"
+    least = [F.min(F.struct(F.xxhash64("v", F.lit(1000 * turn + i)), "v", "n", "place", "c")) for i in range(leaders)]
+    heads = (
+        rows.groupBy("gram")
+        .agg(F.min("c").alias("low"), F.max("c").alias("high"), F.array_distinct(F.array(*least)).alias("heads"))
+        .filter("low < high")
     )
+    if leaders:
+        both = rows.join(heads.select("gram", "heads"), "gram")
+        both = both.withColumn("h", F.explode(F.expr(f"filter(heads, h -> c <> h.c and {near_h})"))).select(
+            "gram", F.least("v", "h.v").alias("a"), F.greatest("v", "h.v").alias("b"),
+            F.expr("if(v < h.v, n, h.n)").alias("an"), F.expr("if(v < h.v, h.n, n)").alias("bn"),
+            F.expr("if(v < h.v, place, h.place)").alias("ap"), F.expr("if(v < h.v, h.place, place)").alias("bp"),
+        )
+    else:
+        mixed = rows.join(heads.select("gram"), "gram", "left_semi")
+        left, right = (
+            mixed.select("gram", F.col("v").alias(x), F.col("n").alias(f"{x}n"), F.col("place").alias(f"{x}p"), F.col("c").alias(f"{x}c"))
+            for x in "ab"
+        )
+        both = left.join(right, "gram").filter(f"a < b and ac <> bc and {near}").drop("ac", "bc")
+    return both
 
 
 def jaccard_components(
     docs: DataFrame,
     k: int = 4,
     percent: int = 85,
-    leader_rounds: int = 1,
+    leaders: tuple[int, ...] = (6, 16, 32),
     bucket_bits: int = 16,
     filter_bits: int = 1 << 24,
 ) -> DataFrame:
@@ -224,40 +257,23 @@ def jaccard_components(
     stored = stored.withColumns({"low": F.min("v").over(column), "high": F.max("v").over(column)})
     stored = saved(stored.filter("low < high").drop("low", "high"), "stored")
 
-    labels = None
-    for turn in range(leader_rounds + 1):
+    labels, decided = None, []
+    for turn, most in enumerate((*leaders, 0)):
         rows = stored.withColumn("c", F.col("v"))
         if labels is not None:
             rows = stored.join(labels.toDF("v", "c"), "v", "left").withColumn("c", F.coalesce("c", "v"))
-        heads = (
-            rows.groupBy("gram")
-            .agg(F.min(F.struct(F.xxhash64("v", F.lit(turn)), "v", "n", "place", "c")).alias("head"),
-                 F.min("c").alias("low"), F.max("c").alias("high"))
-            .filter("low < high")
-        )
-        if turn < leader_rounds:
-            both = rows.join(heads.select("gram", "head.*").toDF("gram", "h", "lv", "ln", "lp", "lc"), "gram")
-            both = both.filter("c <> lc").select(
-                "gram", F.least("v", "lv").alias("a"), F.greatest("v", "lv").alias("b"),
-                F.expr("if(v < lv, n, ln)").alias("an"), F.expr("if(v < lv, ln, n)").alias("bn"),
-                F.expr("if(v < lv, place, lp)").alias("ap"), F.expr("if(v < lv, lp, place)").alias("bp"),
-            )
-        else:
-            mixed = rows.join(heads.select("gram"), "gram", "left_semi")
-            left = mixed.select("gram", *(F.col(c).alias(f"a{c}") for c in ("v", "n", "place", "c")))
-            right = mixed.select("gram", *(F.col(c).alias(f"b{c}") for c in ("v", "n", "place", "c")))
-            near = f"100 * least(an, bn) >= {percent} * greatest(an, bn)"
-            both = left.join(right, "gram").filter(f"av < bv and ac <> bc and {near}").select(
-                "gram", F.col("av").alias("a"), F.col("bv").alias("b"), "an", "bn",
-                F.col("aplace").alias("ap"), F.col("bplace").alias("bp"),
-            )
-        pairs = saved(_pairs(both, percent), "pairs")
+        pairs = _pairs(_product(rows, turn, most, percent), percent)
+        for known in decided:
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        pairs = saved(pairs, "pairs")
         if pairs.isEmpty():
             continue
+        decided.append(pairs.select("a", "b"))
         links = _verified(docs, pairs, k, percent, filter_bits)
         if labels is not None:
             links = links.union(labels.toDF("b", "a").select("a", "b"))
         labels = saved(components(links), "labels")
+    discard(stored)
 
     member = seen.filter("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "v")
     if labels is None:

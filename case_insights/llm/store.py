@@ -20,13 +20,32 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, unless the session says otherwise: workers hold a batch or two at a time, and texts
+    and sets differ in size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # Spark's default
+        spark.conf.set(key, "8m")
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to shared storage and read again: it cuts the lineage, survives lost
     executors, and costs nothing to read twice."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables made by ``saved`` that nothing reads any more."""
+    for frame in frames:
+        context = frame.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(frame.saved_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -46,9 +46,7 @@ class FactorizationMachine:
         self.bits, self.bias = bits, bias
         size = 1 << bits
         self.weight = np.zeros(size, np.float32) if weight is None else weight
-        self.factor = (
-            np.random.default_rng(_SEED).normal(0, 0.02, (size, FACTORS)).astype(np.float32) if factor is None else factor
-        )
+        self.factor = np.zeros((size, FACTORS), np.float32) if factor is None else factor
 
     def raw(self, terms: np.ndarray, offsets: np.ndarray):
         """Log-odds of each row, and the sums of its factors."""
@@ -78,7 +76,7 @@ class FactorizationMachine:
         toxic = np.bincount(terms, np.repeat(label, size), minlength=len(self.weight))
         spread = np.sqrt(np.maximum(holders * share * (1 - share), 1e-9))
         useful = (holders >= MIN_HOLDERS) & (np.abs(toxic - holders * share) >= MIN_SPREADS * spread)
-        self.factor[~useful] = 0
+        self.factor[useful] = rng.normal(0, 0.02, (np.count_nonzero(useful), FACTORS))
         kept = useful[terms]
         offsets = np.concatenate([[0], np.cumsum(kept)])[offsets]
         terms = terms[kept]
@@ -140,7 +138,7 @@ def fit_toxicity(labelled: DataFrame, bits: int = 18) -> FactorizationMachine:
     """Fit on all rows of ``labelled`` (doc_id, text, label 0 or 1), in one task: the caller bounds them. No rows
     give a model that scores 0.5 everywhere."""
     rows = labelled.mapInArrow(_features(bits), "doc_id long, label int, terms binary")
-    found = rows.groupBy(F.lit(0)).applyInArrow(_fitted(bits), "bias double, weight binary, factor binary").first()
+    found = rows.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(_fitted(bits), "bias double, weight binary, factor binary").first()
     if found is None:
         return FactorizationMachine(bits)
     return FactorizationMachine(

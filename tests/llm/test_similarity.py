@@ -31,8 +31,8 @@ def _sets(text):
     return frozenset(tuple(words[i : i + 4]) for i in range(len(words) - 3))
 
 
-@pytest.mark.parametrize("rounds", [0, 1])
-def test_components_of_all_links(docs, texts, rounds):
+@pytest.mark.parametrize("leaders", [(), (1, 2)])
+def test_components_of_all_links(docs, texts, leaders):
     sets = [_sets(t) for _, t in texts]
     group = list(range(len(texts)))
     for a, b in itertools.combinations(group[:], 2):
@@ -47,7 +47,7 @@ def test_components_of_all_links(docs, texts, rounds):
     expected = sorted(
         (repr(i), len(s), lowest.get(g) if s else i) for (i, _), s, g in zip(texts, sets, group)
     )
-    found = jaccard_components(docs, leader_rounds=rounds)
+    found = jaccard_components(docs, leaders=leaders)
     assert sorted((repr(r.doc_id), r.n_shingles, r.component_id) for r in found.collect()) == expected
 
 

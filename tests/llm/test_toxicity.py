@@ -13,7 +13,7 @@ def test_factors_learn_pairs():
     rows, label = [], []
     for _ in range(3000):
         insult, group = rng.random(2) < 0.4
-        rows.append(np.array([1] * insult + [2] * group + sorted(rng.choice(np.arange(3, 60), 5, replace=False).tolist())))
+        rows.append(np.array([1] * int(insult) + [2] * int(group) + sorted(rng.choice(np.arange(3, 60), 5, replace=False).tolist())))
         label.append(float(insult and group))
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     model = FactorizationMachine(6).fit(np.concatenate(rows), offsets, np.array(label))
