@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "8m")
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver found it, if it isn't installed for them."""
+    root = str(Path(__file__).parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to shared storage and read again: it cuts the lineage, survives lost
     executors, and costs nothing to read twice."""
@@ -48,4 +58,5 @@ def discard(*frames: DataFrame) -> None:
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     bounded_batches(spark)
+    workers_find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
