@@ -17,7 +17,7 @@ from case_insights.operators.complement_nb import complement_nb
 from case_insights.operators.contingency import contingency, expected, pair_cells
 from case_insights.operators.fisher import fisher_exact
 from case_insights.plans import distribution, outcomes, profile, text, trends
-from case_insights.sources.lookups import DISPUTE_RESPONSES, PROFILE_COLUMNS, lookup_frame
+from case_insights.sources.lookups import PROFILE_COLUMNS, lookup_frame
 from case_insights.sources.schema import COMPLAINT_SCHEMA, NARRATIVE, RESPONSE
 from case_insights.sources.star import star_complaints, star_narratives
 
@@ -34,8 +34,7 @@ ISSUE_LOOKUP = {
     for adjective in ("blue", "cold", "hot", "large", "red")
     for noun in ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget")
 }
-RESPONSES = (*DISPUTE_RESPONSES, "In progress")
-PRODUCTS = tuple(f"Brand#{i}" for i in range(1, 26))
+BUCKETS = 1 << 18  # of hashed tokens
 
 # Slices shown by the registered queries.
 PRODUCT, SUBPRODUCT, ISSUE, YEAR, SINCE = "Brand#2", "PROMO", "red widget", 1998, 1996
@@ -106,29 +105,26 @@ def _case_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def nb_scores(t):
         return _rounded(complement_nb(text.training_set(t), t), "prob_max")
 
-    def ml_scores(t):
-        model = text.fit_text(text.training_set(t))
-        return _rounded(text.score(model, t).drop("prob_text"), "prob_max")
+    def duplicate_scores(t):
+        # ids and texts that repeat, and rows without a text
+        shown = F.when(F.col("id") % 10 != 0, F.col(NARRATIVE)).alias(NARRATIVE)
+        again = t.select(F.col("product").alias("id"), shown)
+        return _rounded(complement_nb(text.training_set(t), again), "prob_max")
+
+    def hashed_scores(t):
+        return _rounded(text.score_narratives(text.training_set(t), t, BUCKETS), "prob_max")
 
     def svm_scores(t):
-        train = text.training_set(t)
-        return text.score(text.fit_text(train, "hashing", "linear_svm", features=1 << 16), t)
+        return text.score(text.fit_text(text.training_set(t), classifier="linear_svm"), t)
 
     def accuracy(t):
         train, test = text.held_out(text.training_set(t))
-        scored = text.score(text.fit_text(train), test)
+        scored = complement_nb(train, test, buckets=BUCKETS).join(test.select("id", "label"), "id")
         return _rounded(text.evaluate(scored), "accuracy", "recall_0", "recall_1")
 
     def comparison(t):
-        combinations = (
-            ((), "count", "complement_nb"),
-            ((), "tfidf", "complement_nb"),
-            ((), "bigram", "complement_nb"),
-            (("product",), "count", "complement_nb"),
-            ((), "tfidf", "linear_svm"),
-        )
-        train = text.training_set(t, keep=["product"])
-        return text.compare_models(train, combinations, folds=2, features=1 << 16, iterations=10)
+        compared = text.compare_feature_sets(text.training_set(t, keep=["product"]), "product")
+        return _rounded(compared, "accuracy")
 
     return {
         "missing_profile": on(*PROFILE_COLUMNS, then=profile.missing_profile),
@@ -176,7 +172,7 @@ def _case_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "submission_response": on(*channel, then=distribution.submission_response),
         "submission_share": on("submitted_via", then=distribution.submission_share),
         "submission_crosstab": on(
-            *channel, then=lambda c: contingency(pair_cells(c, *channel, presence=True))
+            *channel, then=lambda c: contingency(pair_cells(c, *channel, presence=True), dense=True)
         ),
         "chi2_presence": on(*channel, then=lambda c: tested(pair_cells(c, *channel, presence=True))),
         "chi2_presence_zip_issue": on(
@@ -186,7 +182,7 @@ def _case_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chi2_weighted": on(*channel, then=lambda c: tested(pair_cells(c, *channel))),
         "chi2_relief": on(*disputes, then=lambda c: tested(relief_cells(c))),
         "chi2_expected": on(
-            *channel, then=lambda c: _rounded(expected(pair_cells(c, *channel)), "expected")
+            *channel, then=lambda c: _rounded(expected(pair_cells(c, *channel), dense=True), "expected")
         ),
         "daily_trend": on("date_received", then=trend),
         "trend_years": on(
@@ -204,12 +200,12 @@ def _case_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "response_trend": on("date_received", RESPONSE, then=response_trend),
         "response_trend_wide": on(
             "date_received", RESPONSE,
-            then=lambda c: trends.category_trend_wide(response_trend(c), RESPONSES),
+            then=lambda c: trends.category_trend_wide(response_trend(c)),
         ),
         "product_trend": on("date_received", "product", then=product_trend),
         "product_trend_wide": on(
             "date_received", "product",
-            then=lambda c: trends.category_trend_wide(product_trend(c), PRODUCTS),
+            then=lambda c: trends.category_trend_wide(product_trend(c)),
         ),
         "product_trend_slice": on(
             "date_received", "product",
@@ -233,7 +229,8 @@ def _case_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "training_set": on_texts(text.training_set),
         "random_narrative": on_texts(text.random_narrative),
         "complement_nb_sql": on_texts(nb_scores),
-        "narrative_scores": on_texts(ml_scores),
+        "duplicate_narrative_scores": on_texts(duplicate_scores),
+        "narrative_scores": on_texts(hashed_scores),
         "svm_scores": on_texts(svm_scores),
         "model_accuracy": on_texts(accuracy),
         "model_comparison": on_texts(comparison),
@@ -347,9 +344,7 @@ cells AS (
 )"""
 
 
-def _wide(values: tuple[str, ...]) -> str:
-    columns = ",\n".join(f"max(mva) FILTER (category = '{v}') AS \"{v}\"" for v in values)
-    return f"SELECT date_received, {columns} FROM category_trend GROUP BY 1"
+_WIDE = "SELECT * FROM (PIVOT category_trend ON category USING max(mva) GROUP BY date_received)"
 
 
 def _cells(row: str, col: str, n: str) -> str:
@@ -361,7 +356,8 @@ cells AS (
 
 
 # The dense grid, the textbook statistic over it, and the upper tail as 1 less the power series of
-# the lower incomplete gamma function.
+# the lower incomplete gamma function. Terms further from the largest one than 60 times the series'
+# spread are below 1e-300 of it.
 _GRID = """
 grid AS (
   SELECT r, c, coalesce(n, 0) AS n,
@@ -386,7 +382,9 @@ tested AS (
 ), tail AS (
   SELECT statistic, dof,
          CASE WHEN dof = 0 OR statistic <= 0 THEN 1.0
-              ELSE greatest(0, 1 - list_sum(list_transform(range(0, 20000),
+              ELSE greatest(0, 1 - list_sum(list_transform(
+                     range(CAST(greatest(0, x - a - 60 * sqrt(x) - 200) AS BIGINT),
+                           CAST(greatest(0, x - a) + 60 * sqrt(x + a) + 200 AS BIGINT)),
                      lambda k: exp((a + k) * ln(x) - x - lgamma(a + k + 1))))) END AS p_value
   FROM statistic
 )
@@ -399,12 +397,15 @@ def _values(pairs: dict[str, str]) -> str:
     return "VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in pairs.items())
 
 
-def _nb(train: str, target: str) -> str:
-    """Complement naive Bayes: class scores of every text in ``target``."""
+_HASHED = f"CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % {BUCKETS}"
+
+
+def _nb(train: str, target: str, token: str = "token") -> str:
+    """Complement naive Bayes: class scores of every text in ``target``; ``token`` may map tokens."""
+    each = f"unnest(regexp_extract_all(lower({NARRATIVE}), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS token"
     return f"""
 words AS (
-  SELECT id, label, unnest(regexp_extract_all(lower({NARRATIVE}), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS token
-  FROM {train}
+  SELECT id, label, {token} AS token FROM (SELECT id, label, {each} FROM {train})
 ), vocabulary AS (
   SELECT token, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1
   FROM words GROUP BY token
@@ -414,8 +415,7 @@ words AS (
   SELECT token, -ln((n1 + 1.0) / (t1 + v)) AS w0, -ln((n0 + 1.0) / (t0 + v)) AS w1
   FROM vocabulary, sizes
 ), target_words AS (
-  SELECT id, unnest(regexp_extract_all(lower({NARRATIVE}), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS token
-  FROM {target}
+  SELECT id, {token} AS token FROM (SELECT id, {each} FROM {target})
 ), class_scores AS (
   SELECT id, coalesce(s0, 0) AS s0, coalesce(s1, 0) AS s1
   FROM {target} LEFT JOIN (
@@ -423,11 +423,51 @@ words AS (
   ) USING (id)
 ), decided AS (
   SELECT id, CASE WHEN s0 >= s1 - 1e-9 THEN 0.0 ELSE 1.0 END::DOUBLE AS prediction,
-         round(100 / (1 + exp(-abs(s0 - s1))), 6) AS prob_max
+         100 / (1 + exp(-abs(s0 - s1))) AS prob
   FROM class_scores
 )"""
 
 
+_COMPARISON = f"""
+fold_rows AS (
+  SELECT id, label, CAST('0x' || substr(md5('0:' || id), 1, 8) AS BIGINT) % 3 AS fold, lang,
+         regexp_extract_all(lower({NARRATIVE}), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w
+  FROM training JOIN documents ON doc_id = id
+), set_tokens AS (
+  SELECT 'unigram' AS feature_set, id, label, fold, unnest(w) AS token FROM fold_rows
+  UNION ALL SELECT 'tfidf', id, label, fold, unnest(w) FROM fold_rows
+  UNION ALL SELECT 'unigram+category', id, label, fold, unnest(list_append(w, 'product=' || lang)) FROM fold_rows
+  UNION ALL SELECT 'bigram', id, label, fold,
+                   unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM fold_rows
+), keyed AS (
+  SELECT feature_set, id, label, fold, {_HASHED} AS key FROM set_tokens
+), folds AS (
+  SELECT unnest(range(3)) AS f
+), counts AS (
+  SELECT f, feature_set, key, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1,
+         count(DISTINCT id) AS df
+  FROM keyed JOIN folds ON fold <> f GROUP BY f, feature_set, key
+), learnt AS (
+  SELECT f, feature_set, key, CASE WHEN feature_set = 'tfidf' THEN ln((n + 1.0) / (df + 1.0)) ELSE 1.0 END AS idf,
+         idf * n1 AS t0, idf * n0 AS t1
+  FROM counts JOIN (SELECT f, count(*) AS n FROM fold_rows JOIN folds ON fold <> f GROUP BY f) USING (f)
+), totals AS (
+  SELECT f, feature_set, ln(sum(t0) + count(*)) AS b0, ln(sum(t1) + count(*)) AS b1
+  FROM learnt GROUP BY f, feature_set
+), hits AS (
+  SELECT keyed.feature_set, id, sum(idf) AS known, sum(idf * ln(t0 + 1)) AS s0, sum(idf * ln(t1 + 1)) AS s1
+  FROM keyed JOIN learnt ON f = fold AND learnt.feature_set = keyed.feature_set AND learnt.key = keyed.key
+  GROUP BY keyed.feature_set, id
+), judged AS (
+  SELECT totals.feature_set, fold,
+         (coalesce(known * b1 - s1, 0) > coalesce(known * b0 - s0, 0) + 1e-9) = (label = 1) AS correct
+  FROM fold_rows JOIN totals ON f = fold
+  LEFT JOIN hits ON hits.id = fold_rows.id AND hits.feature_set = totals.feature_set
+), by_fold AS (
+  SELECT feature_set, fold, avg(CAST(correct AS DOUBLE)) AS accuracy FROM judged GROUP BY feature_set, fold
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     found = _case_oracle()
     if llm:
@@ -460,7 +500,7 @@ cells AS (
   SELECT relief AS r, 'False' AS c, false_n AS n FROM relief_table
   UNION ALL SELECT relief, 'True', true_n FROM relief_table
 )"""
-    nb = over_texts(_nb("training", "texts"), select="SELECT * FROM decided")
+    scores = "SELECT id, prediction, round(prob, 6) AS prob_max FROM decided"
     bucket = "CAST('0x' || substr(md5('0:' || id), 1, 8) AS BIGINT) % 100"
     return {
         "missing_profile": over(select=f"SELECT {missing} FROM complaints"),
@@ -596,9 +636,9 @@ JOIN yearly AS o ON o.year = total.year AND o.company_name = total.company_name
 JOIN ranked ON ranked.company_name = total.company_name AND place <= 5""",
         ),
         "response_trend": over(response_trend, select="SELECT * FROM category_trend"),
-        "response_trend_wide": over(response_trend, select=_wide(RESPONSES)),
+        "response_trend_wide": over(response_trend, select=_WIDE),
         "product_trend": over(product_trend, select="SELECT * FROM category_trend"),
-        "product_trend_wide": over(product_trend, select=_wide(PRODUCTS)),
+        "product_trend_wide": over(product_trend, select=_WIDE),
         "product_trend_slice": over(
             product_trend,
             select=f"SELECT date_received, mva FROM category_trend WHERE category = '{PRODUCT}'",
@@ -665,13 +705,30 @@ FROM complaints GROUP BY company_name ORDER BY 3 DESC, 2 LIMIT 10"""
             select=f"""SELECT id, {NARRATIVE} FROM texts
 WHERE {NARRATIVE} IS NOT NULL ORDER BY md5('0:' || id), id LIMIT 1"""
         ),
-        "complement_nb_sql": nb,
-        "narrative_scores": nb,
+        "complement_nb_sql": over_texts(_nb("training", "texts"), select=scores),
+        "duplicate_narrative_scores": over_texts(
+            f"""
+shown AS (
+  SELECT id, lang, CASE WHEN id % 10 <> 0 THEN {NARRATIVE} END AS {NARRATIVE}
+  FROM texts JOIN documents ON doc_id = id
+)""",
+            _nb("training", "shown"),
+            select="SELECT lang AS id, prediction, round(prob, 6) AS prob_max FROM decided JOIN shown USING (id)",
+        ),
+        "narrative_scores": over_texts(
+            _nb("training", "texts", _HASHED),
+            select="""SELECT id, prediction, round(prob, 6) AS prob_max, printf('%.2f', prob) AS prob_text
+FROM decided""",
+        ),
+        "model_comparison": over_texts(
+            _COMPARISON,
+            select="SELECT feature_set, round(avg(accuracy), 6) AS accuracy FROM by_fold GROUP BY feature_set",
+        ),
         "model_accuracy": over_texts(
             f"""
 fit_rows AS (SELECT * FROM training WHERE {bucket} >= 20),
 test_rows AS (SELECT * FROM training WHERE {bucket} < 20)""",
-            _nb("fit_rows", "test_rows"),
+            _nb("fit_rows", "test_rows", _HASHED),
             select="""
 SELECT count(*) AS n,
        round(avg(CAST(prediction = label AS DOUBLE)), 6) AS accuracy,

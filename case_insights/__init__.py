@@ -19,7 +19,7 @@ from case_insights.plans.distribution import (
     top_issue_subissue,
     top_issues,
 )
-from case_insights.plans.marts import report_tables
+from case_insights.plans.marts import base_counts, report_tables, write_report
 from case_insights.plans.outcomes import (
     dispute_by_response,
     dispute_percentage,
@@ -29,12 +29,14 @@ from case_insights.plans.outcomes import (
 )
 from case_insights.plans.profile import company_count, missing_profile, sample_rows, top_companies
 from case_insights.plans.text import (
+    compare_feature_sets,
     compare_models,
     evaluate,
     fit_text,
     held_out,
     random_narrative,
     score,
+    score_narratives,
     training_set,
 )
 from case_insights.plans.trends import (

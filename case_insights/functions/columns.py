@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "Unknown"
+CASES = "_cases"
+
+
+def counted(c: DataFrame, *columns: Column | str) -> DataFrame:
+    """Cases by some columns, as a small stand-in for the cases themselves: every analysis that needs no
+    other column gives the same over it."""
+    return c.groupBy(*columns).agg(n_cases(c).alias(CASES))
+
+
+def n_cases(c: DataFrame, condition: Column | None = None) -> Column:
+    """An aggregate over ``c``, or rows of it: the number of cases, or of those that meet a condition."""
+    if CASES not in c.columns:
+        return F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    n = F.col(CASES) if condition is None else F.when(condition, F.col(CASES))
+    return F.coalesce(F.sum(n), F.lit(0).cast("bigint"))
 
 
 def or_unknown(column: Column) -> Column:

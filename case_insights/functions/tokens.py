@@ -11,3 +11,8 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
+
+
+def bucket(token: Column, buckets: int) -> Column:
+    """The token's bucket: the first 32 bits of its MD5 digest, modulo ``buckets``."""
+    return F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("bigint") % buckets

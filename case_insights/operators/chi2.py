@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from case_insights.functions.chi2_tail import chi2_tail
 from case_insights.functions.columns import verdict
 from case_insights.operators.contingency import with_expected
 
 
+def _keys(cells: DataFrame, key: str) -> Column:
+    """The number of keys; it reads the margin that the test has anyway."""
+    return cells.groupBy(key).agg(F.sum("n").alias("n")).agg(F.count("n")).scalar()
+
+
 def chi2(cells: DataFrame, yates: bool = True, alpha: float = 0.05) -> DataFrame:
     """One row: statistic, dof, p_value, reject, verdict.
 
@@ -21,19 +27,22 @@ def chi2(cells: DataFrame, yates: bool = True, alpha: float = 0.05) -> DataFrame
     """
     n, e = F.col("n"), F.col("expected")
     rows, cols = F.col("row_total"), F.col("col_total")
-    # Within one row key the shares n / row_total sum to 1, so their sum counts the row keys.
-    sums = with_expected(cells.filter("n > 0")).agg(
+    cells = cells.filter("n > 0")
+    whole = T.DecimalType(19, 0)
+    sums = with_expected(cells).agg(
         F.sum((n - e) * (n - e) / e).alias("occurring"),
-        F.sum(e).alias("covered"),
-        F.sum("n").alias("total"),
+        F.sum((rows.cast(whole) * cols.cast(whole)).cast("decimal(38,0)")).alias("products"),
+        F.sum("n").cast(whole).alias("total"),
         F.count(F.lit(1)).alias("cells"),
-        F.round(F.sum(n / rows)).cast("bigint").alias("n_rows"),
-        F.round(F.sum(n / cols)).cast("bigint").alias("n_cols"),
+        _keys(cells, "row").alias("n_rows"),
+        _keys(cells, "col").alias("n_cols"),
         F.sum(n / rows / rows).alias("inv_rows"),
         F.sum(n / cols / cols).alias("inv_cols"),
         F.max(F.abs(n - e)).alias("deviation"),
     )
-    empty = F.when(F.col("cells") < F.col("n_rows") * F.col("n_cols"), F.col("total") - F.col("covered"))
+    # The total less the covered counts, over one denominator: exact where the two are nearly equal.
+    total = F.col("total")
+    empty = ((total * total).cast("decimal(38,0)") - F.col("products")).cast("double") / total.cast("double")
     plain = F.col("occurring") + F.coalesce(empty, F.lit(0.0))
     drawn = F.greatest(F.col("deviation") - 0.5, F.lit(0.0))
     corrected = drawn * drawn * F.col("total") * F.col("inv_rows") * F.col("inv_cols")

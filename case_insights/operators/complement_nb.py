@@ -3,28 +3,34 @@
 For class c, token weight is ln(T_c + alpha V) - ln(t_c + alpha), where t_c counts the token in the
 other classes, T_c is the sum of t_c over the V tokens, and a text's score for c adds the weights of
 its known tokens. So per token only ln(t_c + alpha) has to meet the texts.
+
+Tokens go by a key of fixed length: their 128-bit hash, or with ``buckets`` one of that many buckets,
+which tokens may share.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from case_insights.functions.tokens import tokens
-from case_insights.sources.durable import kept
+from case_insights.functions.tokens import bucket, tokens
 from case_insights.sources.schema import NARRATIVE
 
-_FREQUENT_BYTES = 256
+
+def _keys(text: Column, buckets: int | None) -> Column:
+    """One key for each token of the text."""
+    if buckets:
+        return F.transform(tokens(text), lambda t: F.unhex(F.lpad(F.hex(bucket(t, buckets)), 16, "0")))
+    return F.transform(tokens(text), lambda t: F.unhex(F.md5(t.cast("binary"))))
 
 
-def token_counts(train: DataFrame, classes: Sequence[float]) -> DataFrame:
-    """(token, n0, n1, ...): occurrences of each token in each class. Counts are combined before the
+def token_counts(train: DataFrame, classes: Sequence[float], buckets: int | None = None) -> DataFrame:
+    """(key, n0, n1, ...): occurrences of each token in each class. Counts are combined before the
     shuffle, so a token that is everywhere costs one row per task."""
-    words = train.select("label", F.explode(tokens(F.col(NARRATIVE))).alias("token"))
-    return words.groupBy("token").agg(
+    words = train.select("label", F.explode(_keys(F.col(NARRATIVE), buckets)).alias("key"))
+    return words.groupBy("key").agg(
         *(F.count_if(F.col("label") == c).alias(f"n{i}") for i, c in enumerate(classes))
     )
 
@@ -34,94 +40,80 @@ def complement_nb(
     texts: DataFrame,
     classes: Sequence[float] = (0.0, 1.0),
     smoothing: float = 1.0,
-    broadcast_bytes: int = 32 << 20,
+    buckets: int | None = None,
     frequent_share: float = 1e-5,
 ) -> DataFrame:
-    """(id, prediction, prob_max in percent) for every row of ``texts``, learnt from ``train``.
+    """(id, prediction, prob_max in percent) for every row of ``texts``, learnt from ``train``. Lazy.
+
+    Each distinct text is scored once and joined back to its rows, so ids need not be unique, and a
+    null text scores like an empty one. Equal scores go to the earlier class.
 
-    Learning runs at once and keeps its token counts on shared storage; scoring is lazy. Equal scores
-    go to the earlier class. A vocabulary of at most ``broadcast_bytes`` is sent to all tasks, and
-    texts are scored where they are read. A larger one is split by ``frequent_share``, see
-    ``_score_split``; the results are the same.
+    Tokens that make up ``frequent_share`` of all tokens seen or more are broadcast: there are at most
+    1 / frequent_share of them, of fixed size. Texts add them up where they are read. What is left is
+    one row per text for all of those, and one per text and rarer token; only these meet the other
+    weights. A key that many texts have and training hardly has is left to adaptive skew splitting.
     """
     index = range(len(classes))
-    counts = kept(token_counts(train, classes))
-    size = counts.agg(
-        F.count(F.lit(1)).alias("v"),
-        F.sum(F.octet_length("token") + 8 * len(classes)).alias("bytes"),
-        *(F.sum(f"n{i}").alias(f"n{i}") for i in index),
-    ).first()
-    seen = sum(size[f"n{i}"] or 0 for i in index)
+    counts = token_counts(train, classes, buckets)
+    seen = sum(F.col(f"n{i}") for i in index)
+    totals = counts.agg(
+        F.struct(
+            F.count(F.lit(1)).alias("v"),
+            F.coalesce(F.sum(seen), F.lit(0)).alias("seen"),
+            *(F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in index),
+        )
+    ).scalar()
+    frequent = F.lit(frequent_share) * totals["seen"]
     weights = counts.select(
-        "token",
-        sum(F.col(f"n{i}") for i in index).alias("seen"),
+        "key",
+        seen.alias("seen"),
         F.lit(1).alias("hit"),
-        *(
-            F.log(sum(F.col(f"n{j}") for j in index if j != i) + F.lit(smoothing)).alias(f"w{i}")
-            for i in index
-        ),
+        *(F.log(seen - F.col(f"n{i}") + F.lit(smoothing)).alias(f"w{i}") for i in index),
     )
-    words = texts.select("id", F.explode_outer(tokens(F.col(NARRATIVE))).alias("token"))
-    if (size["bytes"] or 0) <= broadcast_bytes:
-        hits = words.join(F.broadcast(weights.drop("seen")), "token", "left")
-        sums = hits.groupBy("id").agg(
-            F.count("hit").alias("known"),
-            *(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"w{i}") for i in index),
-        )
-    else:
-        sums = _score_split(words, weights, frequent_share * seen, len(classes))
-    base = [
-        math.log(seen - (size[f"n{i}"] or 0) + smoothing * size["v"]) if size["v"] else 0.0
-        for i in index
-    ]
-    scores = sums.select(
-        "id", *((F.col("known") * base[i] - F.col(f"w{i}")).alias(f"s{i}") for i in index)
+    near = weights.filter(F.col("seen") >= frequent).drop("seen")
+    far = weights.filter(F.col("seen") < frequent).select(
+        "key", F.col("hit").alias("found"), *(F.col(f"w{i}").alias(f"r{i}") for i in index)
     )
-    return _decide(scores, classes)
 
-
-def _score_split(
-    words: DataFrame, weights: DataFrame, frequent: float, n_classes: int
-) -> DataFrame:
-    """(id, known, w0, ...): sums of token weights for a vocabulary too large to broadcast.
-
-    Tokens seen ``frequent`` times or more in training are broadcast. With ``frequent`` a share s of
-    all tokens seen, there can be at most 1 / s of them, and long ones are left out, so their size is
-    bounded. Texts add up frequent tokens where they are read, which leaves one row per text for all
-    of them and one row per text and rarer token. Only those rows meet the rest of the vocabulary, in
-    a join where no training token holds more than that share.
-    """
-    index = range(n_classes)
-    often = (F.col("seen") >= frequent) & (F.octet_length("token") <= _FREQUENT_BYTES)
-    near = weights.filter(often).drop("seen")
-    far = weights.filter(~often).select(
-        F.col("token").alias("key"),
-        F.lit("").alias("part"),
-        F.col("hit").alias("found"),
-        *(F.col(f"w{i}").alias(f"r{i}") for i in index),
-    )
+    text = F.coalesce(F.col(NARRATIVE), F.lit(""))
+    named = texts.select("id", F.unhex(F.sha2(text.cast("binary"), 256)).alias("text_key"), text.alias(NARRATIVE))
+    distinct = named.groupBy("text_key").agg(F.first(NARRATIVE).alias(NARRATIVE))
+    words = distinct.select("text_key", F.explode_outer(_keys(F.col(NARRATIVE), buckets)).alias("key"))
     per_text = (
-        words.join(F.broadcast(near), "token", "left")
-        .groupBy("id", F.when(F.col("hit").isNull(), F.col("token")).alias("rest"))
+        words.join(F.broadcast(near), "key", "left")
+        .groupBy("text_key", F.when(F.col("hit").isNull(), F.col("key")).alias("rest"))
         .agg(
-            F.count("token").alias("tf"),
+            F.count("key").alias("tf"),
             F.count("hit").alias("known"),
             *(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"w{i}") for i in index),
         )
     )
-    # A text's own row of frequent tokens has no partner. Its id in the key spreads those rows.
-    keyed = per_text.withColumn("key", F.coalesce("rest", F.lit(""))).withColumn(
-        "part", F.when(F.col("rest").isNull(), F.col("id").cast("string")).otherwise("")
-    )
-    joined = keyed.join(far, ["key", "part"], "left")
+    # A text's own row of frequent tokens has no partner. The text's key, longer than any token's,
+    # stands in for one, so that those rows spread too.
+    keyed = per_text.withColumn("key", F.coalesce("rest", "text_key"))
     tf = F.when(F.col("found").isNotNull(), F.col("tf")).otherwise(0)
-    return joined.groupBy("id").agg(
-        F.sum(F.col("known") + tf).alias("known"),
+    sums = (
+        keyed.join(far, "key", "left")
+        .groupBy("text_key")
+        .agg(
+            F.sum(F.col("known") + tf).alias("known"),
+            *(F.sum(F.col(f"w{i}") + tf * F.coalesce(f"r{i}", F.lit(0.0))).alias(f"w{i}") for i in index),
+        )
+    )
+    scores = sums.select(
+        "text_key",
         *(
-            F.sum(F.col(f"w{i}") + tf * F.coalesce(f"r{i}", F.lit(0.0))).alias(f"w{i}")
+            F.when(totals["v"] == 0, 0.0)
+            .otherwise(
+                F.col("known") * F.log(totals["seen"] - totals[f"n{i}"] + F.lit(smoothing) * totals["v"])
+                - F.col(f"w{i}")
+            )
+            .alias(f"s{i}")
             for i in index
         ),
     )
+    decided = _decide(scores, classes)
+    return named.select("id", "text_key").join(decided, "text_key").select("id", "prediction", "prob_max")
 
 
 def _decide(scores: DataFrame, classes: Sequence[float]) -> DataFrame:
@@ -132,4 +124,4 @@ def _decide(scores: DataFrame, classes: Sequence[float]) -> DataFrame:
         *(F.when(F.col(s) >= best - 1e-9, F.lit(float(c))) for s, c in zip(names, classes))
     )
     odds = sum(F.exp(F.col(s) - best) for s in names)
-    return scores.select("id", prediction.alias("prediction"), (100 / odds).alias("prob_max"))
+    return scores.select("text_key", prediction.alias("prediction"), (100 / odds).alias("prob_max"))

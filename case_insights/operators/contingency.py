@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from case_insights.functions.columns import n_cases
+
 
 def pair_cells(
     df: DataFrame, row: str, col: str, weight: str | None = None, presence: bool = False
@@ -15,7 +17,7 @@ def pair_cells(
     """
     kept = df.filter(F.col(row).isNotNull() & F.col(col).isNotNull())
     keyed = kept.groupBy(F.col(row).alias("row"), F.col(col).alias("col"))
-    count = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    count = n_cases(df) if weight is None else F.sum(weight)
     cells = keyed.agg(count.cast("bigint").alias("n"))
     return cells.withColumn("n", F.least("n", F.lit(1).cast("bigint"))) if presence else cells
 
@@ -34,27 +36,33 @@ def with_expected(cells: DataFrame) -> DataFrame:
     return cells.join(rows, "row").join(cols, "col").withColumn("expected", value)
 
 
-def contingency(cells: DataFrame) -> DataFrame:
-    """The dense table: (row, col, n) for every row key with every column key, 0 where none. For
-    display; column keys are numbered in one task. The tests need only the occurring cells."""
-    grid = _grid(cells)
+def contingency(cells: DataFrame, dense: bool = False) -> DataFrame:
+    """(row, col, n, row_total, col_total) for the cells that occur. ``dense`` is for display: (row, col, n)
+    for every row key with every column key, 0 where none."""
+    if not dense:
+        return with_expected(cells).select("row", "col", "n", "row_total", "col_total")
     return (
-        grid.join(cells, ["row", "col"], "left")
+        _all_pairs(cells)
+        .join(cells, ["row", "col"], "left")
         .select("row", "col", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
         .orderBy("row", "col")
     )
 
 
-def expected(cells: DataFrame) -> DataFrame:
-    """The dense table of expected counts: (row, col, expected)."""
+def expected(cells: DataFrame, dense: bool = False) -> DataFrame:
+    """(row, col, expected) for the cells that occur, or with ``dense`` for every row key with every column
+    key."""
+    if not dense:
+        return with_expected(cells).select("row", "col", "expected")
     total = cells.agg(F.sum("n").cast("double")).scalar()
     value = F.col("row_total").cast("double") * F.col("col_total") / total
-    return _grid(cells).select("row", "col", value.alias("expected")).orderBy("row", "col")
+    return _all_pairs(cells).select("row", "col", value.alias("expected")).orderBy("row", "col")
 
 
-def _grid(cells: DataFrame) -> DataFrame:
-    """Every row key with every column key and their totals, which is the size of the answer. Column
-    keys are numbered, each row key lists the numbers, and an equi-join brings the keys back."""
+def _all_pairs(cells: DataFrame) -> DataFrame:
+    """Every row key with every column key and their totals: an all-pairs result, as large as its answer, for
+    tables small enough to look at. Column keys are numbered in one task, each row key lists the numbers,
+    and an equi-join brings the keys back."""
     rows = cells.groupBy("row").agg(F.sum("n").alias("row_total")).filter("row_total > 0")
     cols = (
         cells.groupBy("col")

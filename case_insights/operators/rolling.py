@@ -47,13 +47,13 @@ def fill_gaps(cells: DataFrame, date: str, category: str, value: str) -> DataFra
     until = F.coalesce(F.lead("_day").over(by_day) - 1, F.col("_days"))
     since = F.when(F.row_number().over(by_day) == 1, 1).otherwise(F.col("_day"))
     spans = (
-        cells.join(F.broadcast(dates), F.col(date) == F.col("_date"))
+        cells.join(dates, F.col(date) == F.col("_date"))
         .select(category, n, "_day", since.cast("int").alias("_from"), until.cast("int").alias("_to"))
         .select(category, n, "_day", F.explode(F.sequence("_from", "_to")).alias("_at"))
     )
     filled = F.when(F.col("_at") == F.col("_span_day"), n).otherwise(0)
     return (
         spans.withColumnRenamed("_day", "_span_day")
-        .join(F.broadcast(dates), F.col("_at") == F.col("_day"))
+        .join(dates, F.col("_at") == F.col("_day"))
         .select(F.col("_date").alias(date), category, filled.cast("bigint").alias(value))
     )

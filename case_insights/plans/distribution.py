@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from case_insights.functions.columns import is_known, or_unknown, percent, two_decimals
+from case_insights.functions.columns import CASES, is_known, n_cases, or_unknown, percent, two_decimals
 from case_insights.operators.ranking import ordered_children, top_rows
 from case_insights.sources.schema import RESPONSE
 
@@ -18,7 +18,7 @@ def product_top10(c: DataFrame, lookup: DataFrame, n: int = 10) -> DataFrame:
     counts = (
         c.filter(F.col("subproduct").isNotNull())
         .groupBy("product")
-        .agg(F.count("product").alias("counts_complaints"))
+        .agg(n_cases(c, F.col("product").isNotNull()).alias("counts_complaints"))
     )
     top = top_rows(counts, "counts_complaints", n, ["product"])
     return top.join(lookup, "product", "left").orderBy(F.desc("counts_complaints"), "product")
@@ -30,7 +30,7 @@ def product_subproduct_state(c: DataFrame) -> DataFrame:
     return (
         c.filter(F.col("subproduct").isNotNull())
         .groupBy("product", "subproduct", "state")
-        .agg(F.count("state").alias("counts_complaints"))
+        .agg(n_cases(c, F.col("state").isNotNull()).alias("counts_complaints"))
         .orderBy(F.desc("counts_complaints"), "product", "subproduct", "state")
     )
 
@@ -52,27 +52,33 @@ def state_counts_slice(pss: DataFrame, product: str, subproduct: str) -> DataFra
 
 def issue_counts(c: DataFrame, known_only: bool = False) -> DataFrame:
     """Cases by issue. Null and a literal 'Unknown' form one group; only rows that have an issue are
-    counted, so nulls alone give 0."""
+    counted, so nulls alone give 0. ``known_only`` leaves that group out before counting, in the scan."""
+    if known_only:
+        known = c.filter(_named("issue")).groupBy("issue").agg(n_cases(c).alias("cnt"))
+        return known.orderBy(F.desc("cnt"), "issue")
     counts = (
-        c.select("issue", or_unknown(F.col("issue")).alias("issue_key"))
+        c.select("issue", or_unknown(F.col("issue")).alias("issue_key"), *_weight(c))
         .groupBy("issue_key")
-        .agg(F.count("issue").alias("cnt"))
+        .agg(n_cases(c, F.col("issue").isNotNull()).alias("cnt"))
         .withColumnRenamed("issue_key", "issue")
     )
-    if known_only:
-        counts = counts.filter(is_known(F.col("issue")))
     return counts.orderBy(F.desc("cnt"), "issue")
 
 
+def _weight(c: DataFrame) -> list[str]:
+    return [CASES] if CASES in c.columns else []
+
+
 def _pairs(c: DataFrame) -> DataFrame:
     return (
         c.select(
             F.col("issue").alias("raw"),
             or_unknown(F.col("issue")).alias("issue"),
             or_unknown(F.col("subissue")).alias("subissue"),
+            *_weight(c),
         )
         .groupBy("issue", "subissue")
-        .agg(F.count("raw").alias("cnt"))
+        .agg(n_cases(c, F.col("raw").isNotNull()).alias("cnt"))
     )
 
 
@@ -80,14 +86,19 @@ def _both_known() -> Column:
     return is_known(F.col("issue")) & is_known(F.col("subissue"))
 
 
-def _known_pairs(pairs: DataFrame, min_count: int) -> DataFrame:
-    return pairs.filter((F.col("cnt") >= min_count) & _both_known())
+def _named(column: str) -> Column:
+    """Neither null nor the sentinel, as conditions that reach the scan."""
+    return F.col(column).isNotNull() & is_known(F.col(column))
+
+
+def _known_pairs(c: DataFrame, min_count: int) -> DataFrame:
+    known = c.filter(_named("issue") & _named("subissue")).groupBy("issue", "subissue")
+    return known.agg(n_cases(c).alias("cnt")).filter(F.col("cnt") >= min_count)
 
 
 def issue_subissue_counts(c: DataFrame, min_count: int = 5, known_only: bool = False) -> DataFrame:
     """Cases by issue and sub-issue, pairs of at least ``min_count``."""
-    pairs = _pairs(c)
-    kept = _known_pairs(pairs, min_count) if known_only else pairs.filter(F.col("cnt") >= min_count)
+    kept = _known_pairs(c, min_count) if known_only else _pairs(c).filter(F.col("cnt") >= min_count)
     return kept.orderBy(F.desc("cnt"), "issue", "subissue")
 
 
@@ -101,18 +112,16 @@ def top_issues(totals: DataFrame, n: int = 10) -> DataFrame:
 
 
 def issue_children(c: DataFrame, min_count: int = 5) -> DataFrame:
-    """(parent, rank, children): each issue's sub-issues by count, issues ranked by their total."""
-    totals = _known_pairs(_pairs(c), min_count).groupBy("issue").agg(
-        F.sum("cnt").alias("total"),
-        F.array_sort(
-            F.collect_list(F.struct((-F.col("cnt")).alias("o"), F.col("subissue").alias("s")))
-        ).alias("listed"),
-    )
+    """(parent, rank, children): each issue's sub-issues by count, issues ranked by their total. A list is
+    as long as its issue has sub-issues; ranking, in one task, sees only issues and totals."""
+    pairs = _known_pairs(c, min_count)
+    totals = pairs.groupBy("issue").agg(F.sum("cnt").alias("total"))
     rank = F.row_number().over(Window.orderBy(F.desc("total"), "issue"))
-    return totals.select(
-        F.col("issue").alias("parent"),
-        rank.alias("rank"),
-        F.transform("listed", lambda x: x["s"]).alias("children"),
+    ranked = totals.select(F.col("issue").alias("parent"), rank.alias("rank"))
+    entry = F.struct((-F.col("cnt")).alias("o"), F.col("subissue").alias("s"))
+    lists = pairs.groupBy(F.col("issue").alias("parent")).agg(F.array_sort(F.collect_list(entry)).alias("listed"))
+    return ranked.join(lists, "parent").select(
+        "parent", "rank", F.transform("listed", lambda x: x["s"]).alias("children")
     )
 
 
@@ -157,7 +166,7 @@ def submission_response(c: DataFrame) -> DataFrame:
     """Cases by channel and company response, null groups kept."""
     return (
         c.groupBy("submitted_via", RESPONSE)
-        .agg(F.count(F.lit(1)).alias("count_response"))
+        .agg(n_cases(c).alias("count_response"))
         .orderBy(F.desc("count_response"), "submitted_via", RESPONSE)
     )
 
@@ -167,7 +176,7 @@ def submission_share(c: DataFrame) -> DataFrame:
     channels = (
         c.filter(F.col("submitted_via").isNotNull())
         .groupBy("submitted_via")
-        .agg(F.count(F.lit(1)).alias("count_response"))
+        .agg(n_cases(c).alias("count_response"))
     )
     total = F.sum("count_response").over(Window.partitionBy())
     share = percent(F.col("count_response"), total)

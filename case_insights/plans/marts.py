@@ -2,48 +2,91 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from case_insights.functions.columns import counted
 from case_insights.operators.chi2 import chi2
 from case_insights.operators.contingency import pair_cells
 from case_insights.operators.fisher import fisher_exact
 from case_insights.plans import distribution, outcomes, profile, trends
 from case_insights.sources.schema import RESPONSE
+from case_insights.sources.sinks import write_marts
+
+
+def base_counts(c: DataFrame) -> dict[str, DataFrame]:
+    """Cases counted once for each family of tables; each is one scan of the columns it names."""
+    year = F.trunc("date_received", "year").alias("date_received")
+    return {
+        "cases_by_state": counted(c, "product", "subproduct", "state"),
+        "cases_by_issue": counted(c, "issue", "subissue"),
+        "cases_by_channel": counted(c, "submitted_via", RESPONSE, "consumer_disputed"),
+        "cases_by_day_response": counted(c, "date_received", RESPONSE),
+        "cases_by_day_product": counted(c, "date_received", "product"),
+        "cases_by_year_issue": counted(c, year, "issue"),
+        "cases_by_year_company": counted(c, year, "company_name", RESPONSE),
+    }
 
 
 def report_tables(
-    c: DataFrame, product_lookup: DataFrame, issue_lookup: DataFrame
+    c: DataFrame,
+    product_lookup: DataFrame,
+    issue_lookup: DataFrame,
+    counts: Mapping[str, DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
-    """Lazy results, for ``write_marts``. When ``c`` is itself a join, write it once with
+    """Lazy results, for ``write_marts``, each over the cases themselves or, with ``counts``, over the table of
+    ``base_counts`` that has its columns. When ``c`` is itself a join, write it once with
     ``write_complaints`` and pass the flat table, so that each result scans only its few columns."""
-    pss = distribution.product_subproduct_state(c)
-    channels = pair_cells(c, "submitted_via", RESPONSE)
-    presence = pair_cells(c, "submitted_via", RESPONSE, presence=True)
-    disputes = outcomes.dispute_by_response(c)
+
+    def of(name: str) -> DataFrame:
+        return counts[name] if counts else c
+
+    states, issues, channel = of("cases_by_state"), of("cases_by_issue"), of("cases_by_channel")
+    days, products = of("cases_by_day_response"), of("cases_by_day_product")
+    issue_years, companies = of("cases_by_year_issue"), of("cases_by_year_company")
+    pss = distribution.product_subproduct_state(states)
+    disputes = outcomes.dispute_by_response(channel)
     return {
         "missing_profile": profile.missing_profile(c),
         "sample_rows": profile.sample_rows(c, ordered=False),
-        "product_top10": distribution.product_top10(c, product_lookup),
+        "product_top10": distribution.product_top10(states, product_lookup),
         "product_subproduct_state": pss,
         "product_children": distribution.product_children(pss),
-        "issue_counts_known": distribution.issue_counts(c, known_only=True),
-        "issue_subissue_known": distribution.issue_subissue_counts(c, known_only=True),
-        "issue_children": distribution.issue_children(c),
-        "top_issue_subissue": distribution.top_issue_subissue(c, issue_lookup),
-        "submission_response": distribution.submission_response(c),
-        "submission_share": distribution.submission_share(c),
-        "chi2_presence": chi2(presence),
-        "chi2_weighted": chi2(channels),
-        "daily_trend": trends.daily_trend(c),
-        "relief_proportion_by_year": trends.relief_proportion_by_year(c),
-        "relief_proportion_by_company": trends.relief_proportion_by_company(c),
-        "response_trend": trends.category_trend(c, RESPONSE),
-        "product_trend": trends.category_trend(c, "product"),
-        "top_issue_by_year": trends.top_issue_by_year(c),
-        "response_share": outcomes.response_share(c),
+        "issue_counts_known": distribution.issue_counts(issues, known_only=True),
+        "issue_subissue_known": distribution.issue_subissue_counts(issues, known_only=True),
+        "issue_children": distribution.issue_children(issues),
+        "top_issue_subissue": distribution.top_issue_subissue(issues, issue_lookup),
+        "submission_response": distribution.submission_response(channel),
+        "submission_share": distribution.submission_share(channel),
+        "chi2_presence": chi2(pair_cells(channel, "submitted_via", RESPONSE, presence=True)),
+        "chi2_weighted": chi2(pair_cells(channel, "submitted_via", RESPONSE)),
+        "daily_trend": trends.daily_trend(days),
+        "relief_proportion_by_year": trends.relief_proportion_by_year(days),
+        "relief_proportion_by_company": trends.relief_proportion_by_company(companies),
+        "response_trend": trends.category_trend(days, RESPONSE),
+        "product_trend": trends.category_trend(products, "product"),
+        "top_issue_by_year": trends.top_issue_by_year(issue_years),
+        "response_share": outcomes.response_share(channel),
         "dispute_rate": outcomes.dispute_rate(disputes),
         "dispute_percentage": outcomes.dispute_percentage(disputes),
         "fisher_exact": fisher_exact(outcomes.relief_dispute_table(disputes)),
-        "company_count": profile.company_count(c),
-        "top_companies": profile.top_companies(c),
+        "company_count": profile.company_count(companies),
+        "top_companies": profile.top_companies(companies),
     }
+
+
+def write_report(
+    c: DataFrame,
+    product_lookup: DataFrame,
+    issue_lookup: DataFrame,
+    path: str,
+    partition_by: Mapping[str, list[str]] | None = None,
+) -> None:
+    """All tables as Parquet folders under ``path``. The base counts are written first, and all results but the
+    profile and the preview read those, so the cases are scanned once for each family."""
+    base = base_counts(c)
+    write_marts(base, path)
+    counts = {name: c.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in base.items()}
+    write_marts(report_tables(c, product_lookup, issue_lookup, counts), path, partition_by)

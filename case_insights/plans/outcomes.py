@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from case_insights.functions.columns import bool_text
+from case_insights.functions.columns import bool_text, n_cases
 from case_insights.sources.lookups import DISPUTE_RESPONSES, RELIEF_CLASSES, mapped
 from case_insights.sources.schema import RESPONSE
 
@@ -15,7 +15,7 @@ from case_insights.sources.schema import RESPONSE
 def response_share(c: DataFrame) -> DataFrame:
     """Cases by known response, with the share of all of them."""
     counts = (
-        c.filter(F.col(RESPONSE).isNotNull()).groupBy(RESPONSE).agg(F.count(F.lit(1)).alias("cnt"))
+        c.filter(F.col(RESPONSE).isNotNull()).groupBy(RESPONSE).agg(n_cases(c).alias("cnt"))
     )
     total = F.sum("cnt").over(Window.partitionBy())
     return counts.withColumn("share", F.try_divide("cnt", total))
@@ -27,7 +27,7 @@ def dispute_by_response(c: DataFrame, responses: Sequence[str] = DISPUTE_RESPONS
     return (
         c.filter(F.col(RESPONSE).isin(list(responses)) & F.col("consumer_disputed").isNotNull())
         .groupBy(F.col(RESPONSE).alias("response"), "consumer_disputed")
-        .agg(F.count(F.lit(1)).alias("count_response"))
+        .agg(n_cases(c).alias("count_response"))
         .select("response", bool_text(F.col("consumer_disputed")).alias("dispute"), "count_response")
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from case_insights.functions.columns import UNKNOWN
+from case_insights.functions.columns import UNKNOWN, n_cases
 from case_insights.operators.ranking import first_per_group, rank_at_most
 from case_insights.operators.reshape import to_wide
 from case_insights.operators.rolling import fill_gaps, trailing_mean
@@ -26,7 +26,7 @@ def _day() -> Column:
 def daily_trend(c: DataFrame, window: int = 30, since_year: int = 2012) -> DataFrame:
     """Cases per day with the trailing mean. Days without cases are not filled in. The mean is taken
     over all days and the years cut off after it, so the first means still see the days before."""
-    days = c.groupBy(_day()).agg(F.count(F.lit(1)).alias("cnt"))
+    days = c.groupBy(_day()).agg(n_cases(c).alias("cnt"))
     trend = trailing_mean(days, "cnt", "monthly_mva", "date_received", window)
     return trend.filter(F.year("date_received") >= since_year).orderBy("date_received")
 
@@ -51,7 +51,7 @@ def category_trend(c: DataFrame, category: str, window: int = 30) -> DataFrame:
     cells = (
         c.filter(F.col(category).isNotNull() & F.col("date_received").isNotNull())
         .groupBy(_day(), F.col(category).alias("category"))
-        .agg(F.count(F.lit(1)).alias("cnt"))
+        .agg(n_cases(c).alias("cnt"))
     )
     full = fill_gaps(cells, "date_received", "category", "cnt")
     return trailing_mean(full, "cnt", "mva", "date_received", window, ["category"])
@@ -72,17 +72,17 @@ def one_category_trend(c: DataFrame, category: str, value: str, window: int = 30
     days = (
         c.filter(F.col(category).isNotNull() & F.col("date_received").isNotNull())
         .groupBy(_day())
-        .agg(F.count_if(F.col(category) == value).alias("cnt"))
+        .agg(n_cases(c, F.col(category) == value).alias("cnt"))
     )
     trend = trailing_mean(days, "cnt", "mva", "date_received", window)
     return trend.select("date_received", "mva").orderBy("date_received")
 
 
-def _outcomes() -> list[Column]:
+def _outcomes(c: DataFrame) -> list[Column]:
     return [
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col(RESPONSE) == MONETARY).alias("monetary"),
-        F.count_if(F.col(RESPONSE) == NON_MONETARY).alias("non_monetary"),
+        n_cases(c).alias("total"),
+        n_cases(c, F.col(RESPONSE) == MONETARY).alias("monetary"),
+        n_cases(c, F.col(RESPONSE) == NON_MONETARY).alias("non_monetary"),
     ]
 
 
@@ -107,7 +107,7 @@ def relief_proportion_by_year(c: DataFrame) -> DataFrame:
     """Share of cases closed with each kind of relief, per year, for years that have both kinds. One
     scan with conditional counts does what joining three yearly tables would."""
     return (
-        c.groupBy(_year()).agg(*_outcomes()).filter(_has_both()).select("year", *_proportions()).orderBy("year")
+        c.groupBy(_year()).agg(*_outcomes(c)).filter(_has_both()).select("year", *_proportions()).orderBy("year")
     )
 
 
@@ -118,7 +118,7 @@ def relief_proportion_by_company(c: DataFrame, top: int = 5) -> DataFrame:
     companies have anything to show: it then reads the same columns of the same yearly counts, and
     Spark reuses their shuffle in place of a second read of the table.
     """
-    yearly = c.groupBy(_year(), "company_name").agg(*_outcomes())
+    yearly = c.groupBy(_year(), "company_name").agg(*_outcomes(c))
     companies = yearly.groupBy("company_name").agg(
         F.sum("total").alias("company_total"), F.max(_has_both()).alias("shown")
     )
@@ -141,7 +141,7 @@ def top_issue_by_year(c: DataFrame) -> DataFrame:
     counts = (
         c.filter(F.col("date_received").isNotNull())
         .groupBy(F.year("date_received").alias("year"), "issue")
-        .agg(F.count(F.lit(1)).alias("cnt"))
+        .agg(n_cases(c).alias("cnt"))
     )
     order = [F.desc("cnt"), F.asc_nulls_last("issue")]
     return first_per_group(counts, ["year"], order).na.fill(UNKNOWN, ["issue"]).orderBy("year")

@@ -1,4 +1,4 @@
-"""Sources, sinks, saved models, SQL with parameters, durable results."""
+"""Sources, sinks, saved models, SQL with parameters."""
 
 import json
 
@@ -6,7 +6,6 @@ import pytest
 from pyspark.ml import PipelineModel
 
 from case_insights.plans import marts, outcomes, text
-from case_insights.sources import durable
 from case_insights.sources.lookups import (
     DISPUTE_RESPONSES,
     ISSUE_ABBREVIATIONS,
@@ -63,6 +62,34 @@ def test_marts(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(category" in plan._jdf.queryExecution().toString()
 
 
+def test_report_scans_the_cases_once_for_each_family(spark, tmp_path, monkeypatch):
+    flat = str(tmp_path / "flat")
+    write_complaints(star_complaints(spark, SF), flat)
+    c = read_complaints(spark, flat)
+    lookups = (
+        lookup_frame(spark, PRODUCT_ABBREVIATIONS, "product", "product_abbr"),
+        lookup_frame(spark, ISSUE_ABBREVIATIONS, "issue", "issue_abbrev"),
+    )
+    written = {}
+
+    def write(results, path, partition_by=None):
+        for name, df in results.items():
+            plan = df._jdf.queryExecution().sparkPlan().toString()
+            written[name] = sum("FileScan" in line and f"{flat}]" in line for line in plan.splitlines())
+        write_marts(results, path, partition_by)
+
+    monkeypatch.setattr(marts, "write_marts", write)
+    marts.write_report(c, *lookups, str(tmp_path / "report"))
+    assert sum(written.values()) == len(marts.base_counts(c)) + 2
+    plain = marts.report_tables(c, *lookups)
+    assert written.keys() == plain.keys() | marts.base_counts(c).keys()
+    for name, df in plain.items():
+        if name != "sample_rows":
+            back = spark.read.parquet(str(tmp_path / "report" / name))
+            assert back.dtypes == df.dtypes, name
+            assert sorted(map(repr, back.collect())) == sorted(map(repr, df.collect())), name
+
+
 def test_sql_with_a_list_parameter_gives_the_same(spark):
     c = star_complaints(spark, SF, [RESPONSE, "consumer_disputed"])
     sql = f"""
@@ -71,29 +98,3 @@ def test_sql_with_a_list_parameter_gives_the_same(spark):
     theirs = spark.sql(sql, args={"responses": list(DISPUTE_RESPONSES)}, c=c)
     ours = outcomes.dispute_by_response(c)
     assert {(r[0], r[1].title(), r[2]) for r in theirs.collect()} == {tuple(r) for r in ours.collect()}
-
-
-def test_kept_survives_as_files(spark, tmp_path):
-    df = spark.range(5)
-    back = durable.kept(df)
-    assert back.count() == 5
-    assert spark.sparkContext.getCheckpointDir()
-
-
-def test_a_cluster_must_name_a_shared_folder(monkeypatch):
-    class Context:
-        master = "spark://host:7077"
-
-        def getCheckpointDir(self):
-            return None
-
-    class Session:
-        sparkContext = Context()
-
-        class conf:
-            @staticmethod
-            def get(key, default):
-                return default
-
-    with pytest.raises(ValueError):
-        durable._ensure_checkpoint_dir(Session())

@@ -3,8 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as e
+from case_insights.functions.tokens import tokens
 from case_insights.operators.chi2 import chi2
 from case_insights.operators.complement_nb import complement_nb
 from case_insights.operators.contingency import contingency, expected, pair_cells
@@ -15,9 +17,9 @@ from case_insights.sources.sinks import write_complaints
 from case_insights.sources.star import star_complaints, star_narratives
 
 SF = "/root/testdata/sf0.001"
-QUERIES = e.queries()
+QUERIES = e._case_queries()
 # Model fitting starts jobs of its own, and the model's transform is Spark ML's.
-FITTED = {"narrative_scores", "svm_scores", "model_accuracy", "model_comparison"}
+FITTED = {"svm_scores"}
 
 
 def final_plan(df) -> str:
@@ -78,8 +80,8 @@ def test_report_tables_read_the_table_once(spark, flat, name):
     df = {
         "top_issue_subissue": lambda: distribution.top_issue_subissue(flat, lookup),
         "chi2_weighted": lambda: chi2(cells),
-        "chi2_expected": lambda: expected(cells),
-        "submission_crosstab": lambda: contingency(cells),
+        "chi2_expected": lambda: expected(cells, dense=True),
+        "submission_crosstab": lambda: contingency(cells, dense=True),
     }[name]()
     assert scans(df) == 1
 
@@ -104,10 +106,47 @@ def test_star_reads_only_the_tables_it_needs(spark):
     assert "nation.parquet" not in formatted(star_complaints(spark, SF, ["subissue"]))
 
 
-def test_scoring_reads_texts_once_and_broadcasts_only_small_vocabularies(spark):
-    t = star_narratives(spark, SF)
-    train = text.training_set(t)
-    small = complement_nb(train, t)
-    assert formatted(small).count("documents.parquet") <= 2
-    big = formatted(complement_nb(train, t, broadcast_bytes=0, frequent_share=0.01))
-    assert "hashpartitioning(key" in big
+def test_known_filters_reach_the_scan(flat):
+    for df in (distribution.issue_children(flat), distribution.issue_counts(flat, known_only=True)):
+        assert re.search(r"PushedFilters: \[.*Not\(EqualTo\(issue,Unknown\)\)", formatted(df))
+
+
+def test_sparse_tables_have_no_all_pairs_step(flat):
+    cells = pair_cells(flat, "zip_code", "issue")
+    for df in (contingency(cells), expected(cells), chi2(cells)):
+        plan = formatted(df)
+        assert "Generate" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - FITTED))
+def test_plans_without_broadcasts_have_no_cross_join(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = formatted(QUERIES[name](spark, SF), run=False)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_drawing_a_narrative_orders_ids_only(spark):
+    plan = formatted(text.random_narrative(star_narratives(spark, SF)), run=False)
+    top = [x for x in re.split(r"\n\n+", plan) if "TakeOrderedAndProject" in x and "Arguments" in x]
+    assert len(top) == 2 and any("consumer_complaint_narrative" not in x for x in top)
+
+
+@pytest.mark.parametrize("share", [1e-5, 0.001])
+def test_no_key_gathers_a_row_of_every_text(spark, share):
+    """Every text has a frequent token and one of 300 bytes; the join's keys stay spread."""
+    long = "x" * 300
+    texts = spark.range(4000).selectExpr("id", f"concat('common {long} w', id % 700) AS consumer_complaint_narrative")
+    train = texts.withColumn("label", (texts["id"] % 2).cast("double"))
+    df = complement_nb(train, texts, frequent_share=share)
+    assert df.count() == 4000
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") >= 2
+    words = train.select(F.explode(tokens(F.col("consumer_complaint_narrative"))).alias("t"))
+    # what is left for the join: a row for each text and rarer token, and the text's own row
+    frequent = words.groupBy("t").count().filter(F.col("count") >= share * words.count())
+    rest = words.join(frequent, "t", "left_anti").groupBy("t").count().agg(F.max("count")).first()[0] or 0
+    assert rest <= max(1, share * 12_000)
+    assert {r.t for r in frequent.collect()} >= {"common", long}
