@@ -5,10 +5,12 @@
 2. A distributed randomised SVD of the passages' TF-IDF matrix A: each task adds up its part of A'(A R) for a
    random matrix R, the parts are summed, and the driver gets the leading right singular vectors from that
    small matrix (Nystrom's formula), whatever the number of passages.
-3. Passages and items are projected, each direction scaled to the same spread. Windows of 2 and 4 blocks of
-   ``BLOCK`` words are compared with all items of a block of items by cosine.
+   Terms of more than ``STOP_SHARE`` of the passages carry no weight: else they would fill the leading directions.
+3. Passages and items are projected, each direction scaled to the same spread. Windows of
+   whole blocks of ``BLOCK`` words are compared by cosine with all items of about their length.
 4. For close pairs the longest common subsequence of the item's words and of the words around the window
-   decides, with a lower bar if the item's answer (its last sentence) stands there word for word.
+   decides, with a lower bar if the item's answer (its last sentence) stands there word for word. It is left out
+   where even all of the item's words that occur there would not be enough.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from case_insights.llm import words as W
 from case_insights.llm.store import saved
 
-PASSAGE, BLOCK, BITS = 32, 16, 13
+PASSAGE, BLOCK, BITS = 32, 8, 13
+SCALES = (3, 4, 6, 9, 13, 18)  # blocks of a window
 RANK, SKETCH = 64, 72
+STOP_SHARE, STOP_PRIOR = 0.02, 2000  # of passages; as if so many more had been seen, for small tables
 _SEED = 11
 _PARTS = 32  # in which a task's matrix is summed
 
@@ -82,6 +86,17 @@ def _joined(column: pa.Array, chunk: int = 1 << 16):
         i = j
 
 
+def _sums(values: np.ndarray, starts: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Sums of ``values``, which has a row for each kept place, over the runs of places that begin at ``starts``."""
+    before = np.concatenate([[0], np.cumsum(keep)])
+    at = before[starts]
+    out = np.zeros((len(starts), values.shape[1]), values.dtype)
+    full = np.flatnonzero(np.diff(np.append(at, len(values))))
+    if len(full):
+        out[full] = np.add.reduceat(values, at[full])
+    return out
+
+
 def _sketched(idf, random):
     """The task's sum of A'(A R), in parts."""
 
@@ -94,14 +109,16 @@ def _sketched(idf, random):
                     continue
                 term = ids >> (16 - BITS)
                 starts = _passages(first, PASSAGE)
-                size = np.diff(np.append(starts, len(ids)))
                 weight = w[term]
-                norm = np.sqrt(np.add.reduceat(weight * weight, starts)) + 1e-9
-                weight /= np.repeat(norm, size)
-                y = np.add.reduceat(r[term] * weight[:, None], starts)
+                keep = weight > 0
+                if not keep.any():
+                    continue
+                which = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))[keep]
+                term, weight = term[keep], weight[keep]
+                weight /= np.sqrt(_sums((weight * weight)[:, None], starts, keep))[which, 0]
+                y = _sums(r[term] * weight[:, None], starts, keep)
                 order = np.argsort(term, kind="stable")
-                at = np.repeat(np.arange(len(starts)), size)[order]
-                term = term[order]
+                at, term = which[order], term[order]
                 heads = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
                 total[term[heads]] += np.add.reduceat(y[at] * weight[order][:, None], heads)
         parts = np.split(total, _PARTS)
@@ -176,7 +193,15 @@ class Items:
             self.answers.append(answer[: at[-1]].tobytes())
         term = numbers >> (16 - BITS)
         z = np.stack([(coordinates[term[a:b]] * idf[term[a:b]][:, None]).sum(0) for a, b in zip(first[:-1], first[1:])])
-        self.z = z / (np.linalg.norm(z, axis=1, keepdims=True) + 1e-9)
+        z = (z / (np.linalg.norm(z, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
+        # a window of the right scale holds the whole item, wherever its blocks begin
+        need = -(-np.diff(first) // BLOCK) + 1
+        scale = np.minimum(np.searchsorted(SCALES, need), len(SCALES) - 1)
+        # (blocks of a window, items of that scale, their latent vectors)
+        self.scales = [
+            (SCALES[i], np.flatnonzero(scale == i).tolist(), np.ascontiguousarray(z[scale == i].T))
+            for i in np.unique(scale).tolist()
+        ]
 
 
 def _contains(words: np.ndarray, part: bytes) -> bool:
@@ -193,6 +218,7 @@ def _contains(words: np.ndarray, part: bytes) -> bool:
 def _found(items, coordinates, min_cosine: float, min_overlap: float, min_with_answer: float):
     def run(batches):
         block, c = items.value, coordinates.value
+        weighted = c.any(axis=1)
         for batch in batches:
             out = ([], [], [], [], [], [])
             docs = batch.column("doc_id").to_pylist()
@@ -200,30 +226,42 @@ def _found(items, coordinates, min_cosine: float, min_overlap: float, min_with_a
                 if not len(ids):
                     continue
                 starts = _passages(first, BLOCK)
-                z = np.add.reduceat(c[ids >> (16 - BITS)], starts)
+                term = ids >> (16 - BITS)
+                keep = weighted[term]
+                z = _sums(c[term[keep]], starts, keep)
                 of = np.searchsorted(first, starts, "right") - 1
                 ends = np.append(starts[1:], len(ids))
                 best: dict[tuple[int, int], tuple] = {}
                 last = np.searchsorted(of, of, "right") - 1  # the last block of the row
-                sums = np.concatenate([np.zeros((1, z.shape[1])), np.cumsum(z, axis=0, dtype=np.float64)])
-                for blocks in (2, 4):
+                sums = np.zeros((len(z) + 1, z.shape[1]), np.float32)
+                np.cumsum(z, axis=0, out=sums[1:])
+                for blocks, part, latent in block.scales:
                     to = np.minimum(np.arange(len(starts)) + blocks - 1, last)
-                    window = (sums[to + 1] - sums[:-1]).astype(np.float32)
-                    window /= np.linalg.norm(window, axis=1, keepdims=True) + 1e-9
-                    for i in range(0, len(window), 4096):
-                        cosine = window[i : i + 4096] @ block.z.T
-                        for a, item in zip(*(x.tolist() for x in np.nonzero(cosine >= min_cosine))):
-                            at = i + a
+                    for i in range(0, len(to), 1024):
+                        window = sums[to[i : i + 1024] + 1] - sums[i : i + 1024][: len(to) - i]
+                        norm = np.sqrt(np.einsum("ij,ij->i", window, window)) + 1e-9
+                        cosine = (window @ latent) / norm[:, None]
+                        close = np.flatnonzero(cosine >= min_cosine)
+                        for a, column in zip((close // latent.shape[1]).tolist(), (close % latent.shape[1]).tolist()):
+                            at, item = i + a, part[column]
                             words = block.words[item]
                             spare = len(words) // 2 + BLOCK
                             low, high = first[of[at]], first[of[at] + 1]
                             x, y = max(low, starts[at] - spare), min(high, ends[to[at]] + spare)
                             around = ids[x:y]
-                            overlap = common_subsequence(words, block.places[item], around.tolist()) / len(words)
-                            answer = overlap >= min_with_answer and _contains(around, block.answers[item])
+                            near = around.tolist()
+                            there = set(near)
+                            most = sum(word in there for word in words)
+                            if most < min_with_answer * len(words):
+                                continue
+                            answer = _contains(around, block.answers[item])
+                            if most < min_overlap * len(words) and not answer:
+                                continue
+                            overlap = common_subsequence(words, block.places[item], near) / len(words)
+                            answer = answer and overlap >= min_with_answer
                             if overlap >= min_overlap or answer:
                                 key = (int(of[at]), item)
-                                found = (overlap, float(cosine[a, item]), answer, int(x - low))
+                                found = (overlap, float(cosine[a, column]), answer, int(x - low))
                                 best[key] = max(best.get(key, found), found)
                 for (r, item), (overlap, cosine_, answer, x) in best.items():
                     values = (docs[row + r], block.ids[item], cosine_, overlap, bool(answer), x)
@@ -239,7 +277,7 @@ def _found(items, coordinates, min_cosine: float, min_overlap: float, min_with_a
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
-    min_cosine: float = 0.5,
+    min_cosine: float = 0.6,
     min_overlap: float = 0.6,
     min_with_answer: float = 0.45,
     min_words: int = 8,
@@ -265,6 +303,7 @@ def find_leaks(
         else:
             holders[term] = n
     idf = np.log((1 + passages) / (1 + holders)).astype(np.float32)
+    idf[holders > STOP_SHARE * (passages + STOP_PRIOR)] = 0
     rows = rows.filter("kind = 0").select("doc_id", "ids")
     coordinates = randomised_svd(rows, idf)
     term_vectors = context.broadcast(coordinates * idf[:, None])
