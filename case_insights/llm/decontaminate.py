@@ -10,7 +10,7 @@
    whole blocks of ``BLOCK`` words are compared by cosine with all items of about their length.
 4. For close pairs the longest common subsequence of the item's words and of the words around the window
    decides, with a lower bar if the item's answer (its last sentence) stands there word for word. It is left out
-   where even all of the item's words that occur there would not be enough.
+   where too few of the item's words occur in the window.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from case_insights.llm.store import saved
 PASSAGE, BLOCK, BITS = 32, 8, 13
 SCALES = (3, 4, 6, 9, 13, 18)  # blocks of a window
 RANK, SKETCH = 64, 72
+MIN_SIGNATURE = 0.5  # share of an item's weighted words that a close window must have, by 128-bit signatures
 STOP_SHARE, STOP_PRIOR = 0.02, 2000  # of passages; as if so many more had been seen, for small tables
 _SEED = 11
 _PARTS = 32  # in which a task's matrix is summed
@@ -97,6 +98,27 @@ def _sums(values: np.ndarray, starts: np.ndarray, keep: np.ndarray) -> np.ndarra
     return out
 
 
+def _signatures(ids: np.ndarray, starts: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """128 bits for each run of places: those of its kept words."""
+    ids = ids[keep]
+    bits = np.zeros((len(ids), 2), np.uint64)
+    bits[np.arange(len(ids)), (ids >> 6) & 1] = np.uint64(1) << (ids & 63).astype(np.uint64)
+    at = np.concatenate([[0], np.cumsum(keep)])[starts]
+    out = np.zeros((len(starts), 2), np.uint64)
+    full = np.flatnonzero(np.diff(np.append(at, len(ids))))
+    if len(full):
+        out[full] = np.bitwise_or.reduceat(bits, at[full])
+    return out
+
+
+def _any_of(signatures: np.ndarray, runs: int) -> np.ndarray:
+    """The bits of each row and the ``runs - 1`` rows after it."""
+    out = signatures.copy()
+    for i in range(1, min(runs, len(signatures))):
+        out[:-i] |= signatures[i:]
+    return out
+
+
 def _sketched(idf, random):
     """The task's sum of A'(A R), in parts."""
 
@@ -194,6 +216,7 @@ class Items:
         term = numbers >> (16 - BITS)
         z = np.stack([(coordinates[term[a:b]] * idf[term[a:b]][:, None]).sum(0) for a, b in zip(first[:-1], first[1:])])
         z = (z / (np.linalg.norm(z, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
+        self.signatures = _signatures(numbers, first[:-1], idf[term] > 0)
         # a window of the right scale holds the whole item, wherever its blocks begin
         need = -(-np.diff(first) // BLOCK) + 1
         scale = np.minimum(np.searchsorted(SCALES, need), len(SCALES) - 1)
@@ -233,16 +256,21 @@ def _found(items, coordinates, min_cosine: float, min_overlap: float, min_with_a
                 ends = np.append(starts[1:], len(ids))
                 best: dict[tuple[int, int], tuple] = {}
                 last = np.searchsorted(of, of, "right") - 1  # the last block of the row
+                signatures = _signatures(ids, starts, keep)
                 sums = np.zeros((len(z) + 1, z.shape[1]), np.float32)
                 np.cumsum(z, axis=0, out=sums[1:])
                 for blocks, part, latent in block.scales:
                     to = np.minimum(np.arange(len(starts)) + blocks - 1, last)
+                    there, wanted = _any_of(signatures, blocks), block.signatures[part]
+                    enough = np.bitwise_count(wanted).sum(1) * MIN_SIGNATURE
                     for i in range(0, len(to), 1024):
                         window = sums[to[i : i + 1024] + 1] - sums[i : i + 1024][: len(to) - i]
                         norm = np.sqrt(np.einsum("ij,ij->i", window, window)) + 1e-9
                         cosine = (window @ latent) / norm[:, None]
                         close = np.flatnonzero(cosine >= min_cosine)
-                        for a, column in zip((close // latent.shape[1]).tolist(), (close % latent.shape[1]).tolist()):
+                        a, column = close // latent.shape[1], close % latent.shape[1]
+                        likely = np.bitwise_count(there[i + a] & wanted[column]).sum(1) >= enough[column]
+                        for a, column in zip(a[likely].tolist(), column[likely].tolist()):
                             at, item = i + a, part[column]
                             words = block.words[item]
                             spare = len(words) // 2 + BLOCK
@@ -250,8 +278,8 @@ def _found(items, coordinates, min_cosine: float, min_overlap: float, min_with_a
                             x, y = max(low, starts[at] - spare), min(high, ends[to[at]] + spare)
                             around = ids[x:y]
                             near = around.tolist()
-                            there = set(near)
-                            most = sum(word in there for word in words)
+                            known = set(near)
+                            most = sum(word in known for word in words)
                             if most < min_with_answer * len(words):
                                 continue
                             answer = _contains(around, block.answers[item])
@@ -277,7 +305,7 @@ def _found(items, coordinates, min_cosine: float, min_overlap: float, min_with_a
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
-    min_cosine: float = 0.6,
+    min_cosine: float = 0.45,
     min_overlap: float = 0.6,
     min_with_answer: float = 0.45,
     min_words: int = 8,
