@@ -6,8 +6,8 @@
 - Centroids are few enough for memory. A neighbour graph over them is searched with a beam, for all rows of a
   batch at once.
 - A vector near the boundary is put into several lists: those whose centroid is not much further than the
-  nearest one, unless a list it is in already lies closer to that centroid than the vector does. All rows are
-  indexed.
+  nearest one, unless a list that it is in lies in the same direction, its centroid close to that one beside the
+  vector's distance. All rows are indexed.
 - A query reads the lists whose centroid is within a ratio of the distance of its nearest one, and more until
   they hold enough rows. Lists and their queries are split into blocks of bounded size; each pair of blocks is
   one matrix product, with scores in double precision on the original vectors.
@@ -108,7 +108,7 @@ class CentroidGraph:
             open_ = np.concatenate([open_, np.isfinite(more_dist)], 1)
 
 
-def _lists_of(graph, longest: float, ratio: float, copies: int):
+def _lists_of(graph, longest: float, ratio: float, spread: float, copies: int):
     """Rows (list, vec_id, vec): each vector in the lists it belongs to."""
 
     def run(batches):
@@ -123,7 +123,7 @@ def _lists_of(graph, longest: float, ratio: float, copies: int):
                 chosen = []
                 for c, d in zip(ids[i][close[i]].tolist(), dist[i][close[i]].tolist()):
                     apart = g.centroids[chosen] - g.centroids[c]
-                    if chosen and (apart * apart).sum(1).min() < d * d:
+                    if chosen and (apart * apart).sum(1).min() < (spread * d) ** 2:
                         continue
                     chosen.append(c)
                     if len(chosen) == copies:
@@ -169,7 +169,10 @@ def _best(k: int):
             repeats = len(np.unique(ids)) < len(ids)
             for q, query in zip(right.column("query_id").to_pylist(), queries):
                 score = np.einsum("ij,j->i", x, query)
-                order = np.lexsort((ids, -score))
+                near = np.arange(len(score))
+                if len(score) > 4 * k and not repeats:  # all that tie with the k + 1 best, one of which may be q
+                    near = np.flatnonzero(score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1])
+                order = near[np.lexsort((ids[near], -score[near]))]
                 order = order[ids[order] != q]
                 if repeats:
                     order = order[np.sort(np.unique(ids[order], return_index=True)[1])]
@@ -193,9 +196,10 @@ def nearest_by_inner_product(
     list_rows: int = 100,
     sample_rows: int = 16_384,
     boundary_ratio: float = 0.15,
+    spread: float = 0.3,
     copies: int = 4,
-    search_ratio: float = 0.35,
-    beam: int = 96,
+    search_ratio: float = 0.2,
+    beam: int = 128,
     block_rows: int = 4096,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each vec_id of ``queries`` its ``k`` best other rows found among
@@ -206,8 +210,9 @@ def nearest_by_inner_product(
     counts once, with its best score. With fewer than ``k`` other rows all are returned; without any, or for an
     empty table, there is no row for a query.
 
-    ``sample_rows`` bounds the rows that centroids are fitted on (those with the smallest hash); their number is
-    a row of every ``list_rows``, at most an eighth of the sample."""
+    ``sample_rows`` bounds the rows that centroids are fitted on (those with the smallest hash). There is a list for
+    every ``list_rows`` rows, but at most one for 32 sampled ones; beyond that lists grow, and blocks with them, so
+    that a query's share of the rows, on which recall rests, stays the same."""
     spark = vectors.sparkSession
 
     def usable(rows: DataFrame) -> DataFrame:
@@ -227,11 +232,11 @@ def nearest_by_inner_product(
     sample = data.orderBy(F.xxhash64("vec_id", "vec"), "vec_id").limit(sample_rows).select("vec").collect()
     x = np.array([r.vec for r in sample])
     x = np.column_stack([x, np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))])
-    lists = max(1, min(math.ceil(total / list_rows), len(x) // 8))
+    lists = max(1, min(math.ceil(total / list_rows), len(x) // 32))
     graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(x, lists)))
 
     posting = saved(
-        data.mapInArrow(_lists_of(graph, longest, boundary_ratio, copies), "list int, vec_id long, vec array<double>"),
+        data.mapInArrow(_lists_of(graph, longest, boundary_ratio, spread, copies), "list int, vec_id long, vec array<double>"),
         "postings",
     )
     count = np.zeros(lists, np.int64)
