@@ -6,7 +6,8 @@ only those that can reach the bound are worth adding up:
 
 - Rows with equal sets are one row: their digest names the vertex, whatever number of copies there are.
 - A row of n n-grams can only reach the bound with another if they share one of its first
-  ``n - ceil(t n) + 1`` n-grams in a common order. Only that part of the matrix is stored. The order puts
+  ``n - ceil(t n) + 1`` n-grams in a common order. Only that part of the matrix is stored. Against a row that is no
+  smaller, its first ``n - ceil(2 t n / (1 + t)) + 1`` are enough. The order puts
   n-grams of busy hash buckets last, so columns of boilerplate are left out; bucket counts cover all texts.
 - Column blocks are multiplied by joins on the n-gram. Overlaps are added up for each pair, and a pair is
   discarded if its overlap so far plus all that may follow stays below the bound of its two sizes.
@@ -192,11 +193,24 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, filter_bi
     return links
 
 
+def _may_reach(n: str, place: str, m: str, at: str, percent: int) -> str:
+    """SQL: whether rows of sizes ``n`` and ``m`` that share an n-gram, in these places, may reach the bound. What
+    stands before the n-gram, or after it, can add no more than the shorter side has; and the smaller row has
+    it in its shorter part."""
+    need = f"div({percent} * ({n} + {m}) + {99 + percent}, {100 + percent})"
+    short = f"{{0}} - div({2 * percent} * {{0}} + {99 + percent}, {100 + percent}) + 1"
+    return (
+        f"(100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) "
+        f"and least({place}, {at}) + least({n} - {place}, {m} - {at}) >= {need} "
+        f"and if({n} <= {m}, {place} < {short.format(n)}, {at} < {short.format(m)}))"
+    )
+
+
 def _product(rows: DataFrame, turn: int, leaders: int, percent: int) -> DataFrame:
     """The shared n-grams a, an, ap, b, bn, bp of pairs of different components: of each row with each leader of its
     column, or without ``leaders`` of all pairs of rows."""
-    near = f"100 * least(an, bn) >= {percent} * greatest(an, bn)"
-    near_h = f"100 * least(n, h.n) >= {percent} * greatest(n, h.n)"
+    near = _may_reach("an", "ap", "bn", "bp", percent)
+    near_h = _may_reach("least(n, h.n)", "if(n <= h.n, place, h.place)", "greatest(n, h.n)", "if(n <= h.n, h.place, place)", percent)
     least = [F.min(F.struct(F.xxhash64("v", F.lit(1000 * turn + i)), "v", "n", "place", "c")) for i in range(leaders)]
     heads = (
         rows.groupBy("gram")
