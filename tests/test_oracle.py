@@ -6,8 +6,8 @@ import __spark_entry__ as e
 from tests.compare import difference, duck
 
 SF = "/root/testdata/sf0.001"
-TWINS = e.oracle_sql()
-QUERIES = e.queries()
+TWINS = e._case_oracle()
+QUERIES = e._case_queries()
 
 
 @pytest.fixture(scope="module")
