@@ -3,6 +3,7 @@
 import itertools
 
 import corpus_pipeline
+import pytest
 from tokenizers import Tokenizer
 
 from case_insights.llm.entry import queries, vocabulary_path
@@ -55,6 +56,17 @@ def test_empty_and_odd_documents(spark, docs, no_docs):
         assert corpus_pipeline.STAGES[-1][1](spark, table, SF).count() >= bool(at_most)
 
 
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_queries_keep_every_row(spark, name):
+    """One row for each row of the table that the query is over; pieces, pairs and neighbours have more or fewer."""
+    found = queries()[name](spark, SF)
+    if name.startswith(("op1_", "op5_", "op8_")):
+        assert found.count()
+    else:
+        table = "pages" if name.startswith(("op6_", "op7_")) else "documents"
+        assert found.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(q[2:].split("_")[0]) for q in queries()) == list(range(1, 11))
     assert [name for name, _ in corpus_pipeline.STAGES] == [
