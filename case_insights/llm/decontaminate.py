@@ -28,7 +28,7 @@ from case_insights.llm.store import saved
 
 PASSAGE, BLOCK, BITS = 32, 8, 13
 SCALES = (3, 4, 6, 9, 13, 18)  # blocks of a window
-RANK, SKETCH = 64, 72
+RANK, SKETCH = 48, 56
 MIN_SIGNATURE = 0.5  # share of an item's weighted words that a close window must have, by 128-bit signatures
 STOP_SHARE, STOP_PRIOR = 0.02, 2000  # of passages; as if so many more had been seen, for small tables
 _SEED = 11
