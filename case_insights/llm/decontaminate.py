@@ -5,7 +5,7 @@
 2. A distributed randomised SVD of the passages' TF-IDF matrix A: each task adds up its part of A'(A R) for a
    random matrix R, the parts are summed, and the driver gets the leading right singular vectors from that
    small matrix (Nystrom's formula), whatever the number of passages.
-   Terms of more than ``STOP_SHARE`` of the passages carry no weight: else they would fill the leading directions.
+   Every term has a weight, so an item that is copied into most documents, or has common words only, keeps its own.
 3. Passages and items are projected, each direction scaled to the same spread. Windows of
    whole blocks of ``BLOCK`` words are compared by cosine with all items of about their length.
 4. For close pairs the longest common subsequence of the item's words and of the words around the window
@@ -30,7 +30,6 @@ PASSAGE, BLOCK, BITS = 32, 8, 13
 SCALES = (3, 4, 6, 9, 13, 18)  # blocks of a window
 RANK, SKETCH = 48, 56
 MIN_SIGNATURE = 0.5  # share of an item's weighted words that a close window must have, by 128-bit signatures
-STOP_SHARE, STOP_PRIOR = 0.02, 2000  # of passages; as if so many more had been seen, for small tables
 _SEED = 11
 _PARTS = 32  # in which a task's matrix is summed
 
@@ -330,8 +329,7 @@ def find_leaks(
             passages = n
         else:
             holders[term] = n
-    idf = np.log((1 + passages) / (1 + holders)).astype(np.float32)
-    idf[holders > STOP_SHARE * (passages + STOP_PRIOR)] = 0
+    idf = np.log(1 + passages / (1 + holders)).astype(np.float32)
     rows = rows.filter("kind = 0").select("doc_id", "ids")
     coordinates = randomised_svd(rows, idf)
     term_vectors = context.broadcast(coordinates * idf[:, None])

@@ -59,3 +59,19 @@ def test_paraphrases_and_odd_rows(spark, docs, no_docs):
     assert find_leaks(no_docs, benchmark).collect() == []
     assert find_leaks(docs, benchmark.limit(0)).collect() == []
     assert find_leaks(docs, benchmark).collect() == []
+
+
+def test_item_in_half_of_the_documents(spark):
+    """Copies don't take the weight from an item's words."""
+    rng = random.Random(7)
+
+    def noise(n):
+        return " ".join(f"w{int(3000 * rng.random() ** 2)}" for _ in range(n))
+
+    item = " ".join(f"q{i}" for i in range(30)) + "."
+    rows = [(i, noise(80) + (f" {item} " if i % 2 else " ") + noise(80)) for i in range(400)]
+    found = find_leaks(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3),
+        spark.createDataFrame([(1, item), (2, noise(30))], "item_id long, text string"),
+    ).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(i, 1) for i in range(1, 400, 2)]
