@@ -26,9 +26,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their word n-grams, the one with the smallest doc_id stays; documents without words
-    stay, as they are linked with nothing."""
-    drop = jaccard_components(docs).filter("doc_id <> component_id").select("doc_id")
+    """Of documents linked by four fifths of their five-word shingles, the one with the smallest doc_id stays;
+    documents without words stay, as they are linked with nothing."""
+    drop = jaccard_components(docs, k=5, percent=80).filter("doc_id <> component_id").select("doc_id")
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
 
 

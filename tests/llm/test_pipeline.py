@@ -72,3 +72,13 @@ def test_every_operator_has_a_query():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "toxicity", "n-gram Jaccard join", "substring dedup", "benchmark decontamination", "packing"
     ]
+
+
+def test_near_copies_from_four_fifths(spark):
+    """A text cut from 200 to 166 words shares 162 of 196 five-word shingles; one cut to 150 words 146 of them."""
+    words = [f"w{i}" for i in range(200)]
+    other = [f"x{i}" for i in range(200)]
+    texts = [words, words[:166], other, other[:150]]
+    rows = [(i, " ".join(w), "en", "s", len(" ".join(w))) for i, w in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()) == [0, 2, 3]
