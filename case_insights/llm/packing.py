@@ -3,8 +3,10 @@
 1. Texts are tokenised once. A document's full windows are sequences of their own; what is left of it, a tail
    shorter than a window, is stored with its ids. The number of documents that hold each token is counted
    over all of them; the vocabulary bounds that table.
-2. Tails are dealt to shards of about ``shard_tails`` rows by the hash of a row number, so a shard's size
-   doesn't depend on keys or copies. Each shard is a BM25 inverted index of its tails, whose terms are tokens.
+2. Tails are dealt by content to shards of about ``shard_tails`` rows: each goes to the nearest of a set of
+   centroids of projected TF-IDF vectors, and there to a bucket by the smallest hash of its terms. Buckets follow one
+   another in a fixed order that is cut into shards of one size; what is too large for a shard, such as many copies,
+   is spread over several. Each shard is a BM25 inverted index of its tails, whose terms are tokens.
 3. In a shard the next unused tail is a seed and opens a sequence; the index gives its unused neighbours by
    falling score, which fill the window. The last one is cut where the window ends, its rest stays unused.
    Only the last sequence of a shard has padding.
@@ -28,6 +30,9 @@ from case_insights.llm.store import saved
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 REMEMBERED = 300_000  # words whose ids a task keeps
 K1, B = 1.2, 0.75
+DIRECTIONS, BUCKETS = 128, 256  # of a projected tail; of a centroid's tails
+MAX_CENTROIDS, SAMPLE_PER_CENTROID, ROUNDS = 4096, 16, 8  # bound the fit, not the tails dealt
+_SEED = 5
 
 # Where a cut before a space could change the ids: within a run of white space, or before a space that ends the text.
 _UNSAFE = re.compile(r"[\s\x1c-\x1f\x85] (?:[\s\x1c-\x1f\x85]|\Z)")
@@ -118,6 +123,97 @@ def _tokenised(vocabulary, window: int, end_id: int):
     return run
 
 
+@functools.lru_cache(1)
+def _projection(terms: int) -> np.ndarray:
+    return np.random.default_rng(_SEED).normal(size=(terms, DIRECTIONS)).astype(np.float32)
+
+
+def _projected(kind: str, column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each tail its unit vector (zero without informative terms), and its bucket."""
+    turn = _projection(len(idf))
+    vectors, buckets = np.zeros((len(column), DIRECTIONS), np.float32), np.zeros(len(column), np.int64)
+    for i, ids in enumerate(column.to_pylist()):
+        terms, times = np.unique(np.frombuffer(ids, kind), return_counts=True)
+        useful = idf[terms] > 0
+        terms, times = terms[useful], times[useful]
+        if len(terms):
+            vectors[i] = (idf[terms] * times / (times + K1)).astype(np.float32) @ turn[terms]
+            hashes = (terms.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            buckets[i] = int(terms[np.argmin(hashes ^ (hashes >> np.uint64(29)))]) % BUCKETS
+    return vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9), buckets
+
+
+def fit_centroids(vectors: np.ndarray, n: int) -> np.ndarray:
+    """At most ``n`` unit centroids (spherical k-means), each followed by the nearest one that is left."""
+    rng = np.random.default_rng(_SEED)
+    distinct = np.unique(vectors, axis=0)
+    centroids = distinct[np.sort(rng.permutation(len(distinct))[:n])]
+    for _ in range(ROUNDS):
+        nearest = (vectors @ centroids.T).argmax(1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, nearest, vectors)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centroids = np.where(norm > 1e-6, sums / np.maximum(norm, 1e-6), centroids)
+    order, left = [0], np.ones(len(centroids), bool)
+    left[0] = False
+    while left.any():
+        order.append(int(np.where(left, centroids @ centroids[order[-1]], -2).argmax()))
+        left[order[-1]] = False
+    return centroids[order]
+
+
+def _vectors(kind: str, idf):
+    def run(batches):
+        for batch in batches:
+            vectors, _ = _projected(kind, batch.column("ids"), idf.value)
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in vectors], pa.binary())], ["vector"])
+
+    return run
+
+
+def _celled(kind: str, idf, centroids):
+    """The tails with their cell: centroid and bucket."""
+
+    def run(batches):
+        for batch in batches:
+            vectors, buckets = _projected(kind, batch.column("ids"), idf.value)
+            cell = (vectors @ centroids.value.T).argmax(1) * BUCKETS + buckets
+            yield batch.append_column("cell", pa.array(cell.astype(np.int64)))
+
+    return run
+
+
+def _dealt(tails: DataFrame, n: int, shards: int, kind: str, idf) -> DataFrame:
+    """``tails`` (n of them) with ``shard``: related ones together, shards of about the same size."""
+    if shards == 1:
+        return tails.withColumn("shard", F.lit(0).cast("long"))
+    spark = tails.sparkSession
+    wanted = min(4 * shards, MAX_CENTROIDS)  # finer than shards: a cut between two splits few groups
+    sample = tails.filter(F.pmod(F.xxhash64("row"), F.lit(n)) < wanted * SAMPLE_PER_CENTROID).select("ids")
+    found = [r.vector for r in sample.mapInArrow(_vectors(kind, idf), "vector binary").collect()]
+    vectors = np.stack([np.frombuffer(v, np.float32) for v in sorted(found)] or [np.zeros(DIRECTIONS, np.float32)])
+    centroids = spark.sparkContext.broadcast(fit_centroids(vectors, wanted))
+    schema = "row long, doc_id long, start long, doc_tokens long, ids binary, cell long"
+    celled = saved(tails.mapInArrow(_celled(kind, idf, centroids), schema), "cells")
+    counts = np.zeros(len(centroids.value) * BUCKETS, np.int64)
+    for cell, size in celled.groupBy("cell").count().collect():  # at most MAX_CENTROIDS * BUCKETS rows
+        counts[cell] = size
+    before = spark.sparkContext.broadcast((np.cumsum(counts) - counts, counts))
+
+    def sharded(batches):
+        first, size = before.value
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            # a place in the cell, from the row number alone
+            mixed = (batch.column("row").to_numpy().astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            place = first[cell] + (mixed >> np.uint64(11)).astype(np.float64) / 2.0**53 * size[cell]
+            shard = np.minimum(place * shards / n, shards - 1).astype(np.int64)
+            yield batch.set_column(batch.schema.get_field_index("cell"), "shard", pa.array(shard))
+
+    return celled.mapInArrow(sharded, schema.replace("cell", "shard"))
+
+
 class Index:
     """BM25 inverted index of a shard's tails."""
 
@@ -227,11 +323,8 @@ def pack_by_retrieval(
         (F.col("row") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
     )
     shards = max(1, round(tails / shard_tails))
-    pack = _packed("<u2" if len(vocabulary) <= 1 << 16 else "<u4", window, spark.sparkContext.broadcast(idf), length / max(tails, 1))
-    packed = (
-        rows.filter("kind = 1")
-        .select("row", "doc_id", "start", "doc_tokens", "ids", F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"))
-        .groupBy("shard")
-        .applyInArrow(pack, _PIECES)
-    )
+    kind, idf = "<u2" if len(vocabulary) <= 1 << 16 else "<u4", spark.sparkContext.broadcast(idf)
+    pack = _packed(kind, window, idf, length / max(tails, 1))
+    open_ = rows.filter("kind = 1").select("row", "doc_id", "start", "doc_tokens", "ids")
+    packed = _dealt(open_, tails, shards, kind, idf).groupBy("shard").applyInArrow(pack, _PIECES)
     return full.union(packed)

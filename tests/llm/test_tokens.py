@@ -115,3 +115,24 @@ def test_related_documents_share_a_sequence(spark, vocabulary):
 
 def test_nothing_to_pack(no_docs, vocabulary):
     assert pack_by_retrieval(no_docs, vocabulary).collect() == []
+
+
+def test_related_documents_meet_with_many_shards(spark, vocabulary):
+    """Topics of eight documents in 20 shards; a third of all rows are copies of one text."""
+    rng = random.Random(8)
+    words = [w.decode() for w in vocabulary if w.startswith(b" ") and w[1:].isalpha() and w.isascii() and len(w) > 5][:4000]
+    rng.shuffle(words)
+    topics = [words[40 * i : 40 * i + 40] for i in range(60)]
+    rows = [(8 * t + i, "".join(rng.choices(topic, k=40))) for t, topic in enumerate(topics) for i in range(8)]
+    rows += [(1000 + i, "".join(words[3000:3050])) for i in range(240)]
+    rng.shuffle(rows)
+    found = pack_by_retrieval(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(4), vocabulary, window=256, shard_tails=36
+    ).collect()
+    shards, sizes = defaultdict(set), defaultdict(set)
+    for r in found:
+        shards[r.doc_id].add(r.sequence_id >> 34)
+        sizes[r.sequence_id >> 34].add(r.doc_id)
+    assert len(sizes) == 20 and max(map(len, sizes.values())) <= 2 * 36
+    met = sum(bool(shards[8 * t + i] & shards[8 * t + j]) for t in range(60) for i in range(8) for j in range(i))
+    assert met >= 0.7 * 60 * 28
