@@ -11,6 +11,7 @@ from case_insights.llm.ann import nearest_by_inner_product
 from case_insights.llm.decontaminate import find_leaks
 from case_insights.llm.extract import main_text
 from case_insights.llm.jaccard import jaccard_components
+from case_insights.llm.mixing import mix_sources
 from case_insights.llm.packing import pack_by_retrieval
 from case_insights.llm.ring import shard_by_ring
 from case_insights.llm.store import documents
@@ -52,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "op9_token_counts": lambda spark, sf: token_counts(documents(spark, sf), byte_vocabulary(vocabulary_path())),
         "op10_ngram_jaccard": lambda spark, sf: jaccard_components(documents(spark, sf)),
+        "op13_source_mix": lambda spark, sf: mix_sources(documents(spark, sf)),
     }
 
 
