@@ -20,6 +20,7 @@ from case_insights.llm.store import documents
 from case_insights.llm.substring import remove_repeats
 from case_insights.llm.toxicity import judge_toxicity
 from case_insights.llm.urlrules import judge_urls
+from case_insights.llm.whitening import whiten
 from case_insights.llm.wordpiece import byte_vocabulary, token_counts
 
 
@@ -48,6 +49,11 @@ def _hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return mine_hard_negatives(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+def _whitened(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = documents(spark, sf, "embeddings").filter(usable("embedding"))
+    return whiten(vectors.select("vec_id", scaled("embedding").alias("x")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_posting_lists": _neighbours,
@@ -62,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "op9_token_counts": lambda spark, sf: token_counts(documents(spark, sf), byte_vocabulary(vocabulary_path())),
         "op10_ngram_jaccard": lambda spark, sf: jaccard_components(documents(spark, sf)),
+        "op11_whitening": _whitened,
         "op12_hard_negatives": _hard_negatives,
         "op13_source_mix": lambda spark, sf: mix_sources(documents(spark, sf)),
     }
