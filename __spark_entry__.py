@@ -344,7 +344,11 @@ cells AS (
 )"""
 
 
-_WIDE = "SELECT * FROM (PIVOT category_trend ON category USING max(mva) GROUP BY date_received)"
+def _wide(*categories: str) -> str:
+    """Each listed category a column. The query takes the categories from the data, so one that is missing here, or
+    in the data, shows as a difference."""
+    listed = ", ".join(f"'{c}'" for c in categories)
+    return f"SELECT * FROM (PIVOT category_trend ON category IN ({listed}) USING max(mva) GROUP BY date_received)"
 
 
 def _cells(row: str, col: str, n: str) -> str:
@@ -636,9 +640,12 @@ JOIN yearly AS o ON o.year = total.year AND o.company_name = total.company_name
 JOIN ranked ON ranked.company_name = total.company_name AND place <= 5""",
         ),
         "response_trend": over(response_trend, select="SELECT * FROM category_trend"),
-        "response_trend_wide": over(response_trend, select=_WIDE),
+        "response_trend_wide": over(
+            response_trend,
+            select=_wide("Closed", "Closed with explanation", "Closed with monetary relief", "In progress"),
+        ),
         "product_trend": over(product_trend, select="SELECT * FROM category_trend"),
-        "product_trend_wide": over(product_trend, select=_WIDE),
+        "product_trend_wide": over(product_trend, select=_wide(*(f"Brand#{i}" for i in range(1, 26)))),
         "product_trend_slice": over(
             product_trend,
             select=f"SELECT date_received, mva FROM category_trend WHERE category = '{PRODUCT}'",

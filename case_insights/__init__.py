@@ -64,3 +64,4 @@ from case_insights.sources.schema import (
     read_narratives_csv,
 )
 from case_insights.sources.sinks import write_complaints, write_marts, write_records
+from case_insights.sources.split_csv import read_csv_in_ranges

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from case_insights.sources.split_csv import read_csv_in_ranges
+
 COMPLAINT_SCHEMA = T.StructType(
     [
         T.StructField("date_received", T.DateType()),
@@ -41,13 +43,17 @@ def read_complaints_bigquery(spark: SparkSession, table: str) -> DataFrame:
     return spark.read.format("bigquery").option("table", table).load()
 
 
-def read_narratives_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_narratives_csv(spark: SparkSession, path: str, in_ranges: bool = True) -> DataFrame:
     """Narratives from CSV files with a header; the first column is the text.
 
-    Texts may hold line breaks and doubled quotes. A file with line breaks inside a field cannot be
-    split, so give a folder of many files when the set is large. ``id`` is a hash of the text: it
-    stays the same when a lost task is run again, which a generated row number would not.
+    Texts may hold line breaks and doubled quotes. Files are read in ranges, many tasks to a file, which needs quotes
+    to stand around whole fields, as the format asks; with ``in_ranges=False`` one task reads a file and stray quotes do
+    no harm. ``id`` is a 128-bit hash of the text: it stays the same when a lost task is run again, which a
+    generated row number would not. It is null for a null text.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    text = F.col(f"`{raw.columns[0]}`")
-    return raw.select(F.xxhash64(text).alias("id"), text.alias(NARRATIVE))
+    if in_ranges:
+        raw = read_csv_in_ranges(spark, path)
+    else:
+        raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    text = F.col("`" + raw.columns[0].replace("`", "``") + "`")
+    return raw.select(F.md5(text.cast("binary")).alias("id"), text.alias(NARRATIVE))
