@@ -19,7 +19,7 @@ from case_insights.plans.distribution import (
     top_issue_subissue,
     top_issues,
 )
-from case_insights.plans.marts import base_counts, report_tables, write_report
+from case_insights.plans.marts import base_table, family_counts, read_days, refresh_days, report_tables, write_report
 from case_insights.plans.outcomes import (
     dispute_by_response,
     dispute_percentage,

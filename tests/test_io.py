@@ -4,7 +4,9 @@ import json
 
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
 
+from case_insights.functions.columns import counted
 from case_insights.plans import marts, outcomes, text
 from case_insights.sources.lookups import (
     DISPUTE_RESPONSES,
@@ -19,6 +21,33 @@ from case_insights.sources.star import star_complaints, star_narratives
 SF = "/root/testdata/sf0.001"
 
 
+def scans(df, path):
+    """Leaves of the plan that read a folder."""
+    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
+    found = [leaves.apply(i) for i in range(leaves.size())]
+    roots = [str(x.relation().location().rootPaths().mkString(" ")) for x in found if "Scan parquet" in x.nodeName()]
+    return sum(r.endswith(path) for r in roots)
+
+
+def plain_rows(df):  # numbers are added in another order
+    return sorted(str([f"{v:.9g}" if isinstance(v, float) else v for v in r]) for r in df.collect())
+
+
+@pytest.fixture(scope="module")
+def flat(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("cases") / "flat")
+    write_complaints(star_complaints(spark, SF), path)
+    return path
+
+
+@pytest.fixture(scope="module")
+def lookups(spark):
+    return (
+        lookup_frame(spark, PRODUCT_ABBREVIATIONS, "product", "product_abbr"),
+        lookup_frame(spark, ISSUE_ABBREVIATIONS, "issue", "issue_abbrev"),
+    )
+
+
 def test_flat_table_round_trip(spark, tmp_path):
     star = star_complaints(spark, SF)
     assert [(f.name, f.dataType) for f in star.schema] == [(f.name, f.dataType) for f in COMPLAINT_SCHEMA]
@@ -45,14 +74,9 @@ def test_records(spark, tmp_path):
     assert [json.loads(x) for x in lines] == [{"k": 1, "v": "a"}]
 
 
-def test_marts(spark, tmp_path):
-    write_complaints(star_complaints(spark, SF), str(tmp_path / "flat"))
-    c = read_complaints(spark, str(tmp_path / "flat"))
-    tables = marts.report_tables(
-        c,
-        lookup_frame(spark, PRODUCT_ABBREVIATIONS, "product", "product_abbr"),
-        lookup_frame(spark, ISSUE_ABBREVIATIONS, "issue", "issue_abbrev"),
-    )
+def test_marts(spark, flat, lookups, tmp_path):
+    c = read_complaints(spark, flat)
+    tables = marts.report_tables(c, *lookups)
     parts = {"response_trend": ["category"]}
     write_marts(tables, str(tmp_path / "marts"), parts)
     write_marts({"response_trend": tables["response_trend"]}, str(tmp_path / "marts"), parts)
@@ -62,36 +86,59 @@ def test_marts(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(category" in plan._jdf.queryExecution().toString()
 
 
-def test_report_scans_the_cases_once_for_each_family(spark, tmp_path, monkeypatch):
-    flat = str(tmp_path / "flat")
-    write_complaints(star_complaints(spark, SF), flat)
+def test_base_counts_are_those_of_each_family(spark, flat):
+    c = read_complaints(spark, flat)
+    year = F.trunc("date_received", "year").alias("date_received")
+    date = {None: [], "day": ["date_received"], "year": [year]}
+    for name, got in marts.family_counts(marts.base_table(c)).items():
+        columns, kept = marts.FAMILIES[name]
+        want = counted(c, *columns, *date[kept])
+        assert got.dtypes == want.dtypes and plain_rows(got) == plain_rows(want), name
+
+
+def test_report_scans_the_cases_once_for_all_counts(spark, flat, lookups, tmp_path, monkeypatch):
     c = read_complaints(spark, flat)
-    lookups = (
-        lookup_frame(spark, PRODUCT_ABBREVIATIONS, "product", "product_abbr"),
-        lookup_frame(spark, ISSUE_ABBREVIATIONS, "issue", "issue_abbrev"),
-    )
     written = {}
 
     def write(results, path, partition_by=None):
-        for name, df in results.items():
-            plan = df._jdf.queryExecution().sparkPlan().toString()
-            written[name] = sum("FileScan" in line and f"{flat}]" in line for line in plan.splitlines())
+        written.update((name, scans(df, flat)) for name, df in results.items())
         write_marts(results, path, partition_by)
 
     monkeypatch.setattr(marts, "write_marts", write)
     marts.write_report(c, *lookups, str(tmp_path / "report"))
-    assert sum(written.values()) == len(marts.base_counts(c)) + 2
+    assert {name for name, n in written.items() if n} == {"base_counts", "missing_profile", "sample_rows"}
+    assert set(written.values()) == {0, 1}
     plain = marts.report_tables(c, *lookups)
-    assert written.keys() == plain.keys() | marts.base_counts(c).keys()
-
-    def rows(df):  # numbers are added in another order
-        return sorted(str([f"{v:.9g}" if isinstance(v, float) else v for v in r]) for r in df.collect())
-
+    assert written.keys() == plain.keys() | {"base_counts"}
     for name, df in plain.items():
         if name != "sample_rows":
             back = spark.read.parquet(str(tmp_path / "report" / name))
             assert back.dtypes == df.dtypes, name
-            assert rows(back) == rows(df), name
+            assert plain_rows(back) == plain_rows(df), name
+
+
+def test_days_are_refreshed_one_by_one(spark, flat, lookups, tmp_path):
+    dated = read_complaints(spark, flat)
+    days = [r[0] for r in dated.select("date_received").distinct().orderBy("date_received").limit(40).collect()]
+    some = dated.filter(F.col("date_received") <= days[-1])
+    undated = some.limit(3).withColumn("date_received", F.lit(None).cast("date"))
+    c = some.union(undated).cache()
+    first, second = c.filter(F.col("date_received") < days[20]), c.filter(~(F.col("date_received") < days[20]) | F.col("date_received").isNull())
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    marts.refresh_days(c, one)
+    want = plain_rows(marts.base_table(c))
+    assert first.count() and second.count()
+    assert plain_rows(marts.read_days(spark, one, c.schema)) == want
+    stale = second.withColumn("product", F.lit("stale"))
+    for part in (first, stale, second, second):  # days counted wrongly before, and a day counted twice
+        marts.refresh_days(part, two)
+    assert plain_rows(marts.read_days(spark, two, c.schema)) == want
+    names = sorted(p.name for p in (tmp_path / "two").iterdir() if p.is_dir())
+    assert len(names) == c.select("date_received").distinct().count() and "date_received=__HIVE_DEFAULT_PARTITION__" in names
+    counts = marts.family_counts(marts.read_days(spark, two, c.schema))
+    for name in ("top_companies", "response_share", "issue_counts_known"):
+        got = marts.report_tables(c, *lookups, counts)[name]
+        assert scans(got, two) == 1 and plain_rows(got) == plain_rows(marts.report_tables(c, *lookups)[name])
 
 
 def test_sql_with_a_list_parameter_gives_the_same(spark):
