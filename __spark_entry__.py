@@ -16,7 +16,7 @@ from case_insights.operators.chi2 import chi2
 from case_insights.operators.complement_nb import complement_nb
 from case_insights.operators.contingency import contingency, expected, pair_cells
 from case_insights.operators.fisher import fisher_exact
-from case_insights.plans import distribution, outcomes, profile, text, trends
+from case_insights.plans import comparison, distribution, outcomes, profile, text, trends
 from case_insights.sources.lookups import PROFILE_COLUMNS, lookup_frame
 from case_insights.sources.schema import COMPLAINT_SCHEMA, NARRATIVE, RESPONSE
 from case_insights.sources.star import star_complaints, star_narratives
@@ -34,6 +34,7 @@ ISSUE_LOOKUP = {
     for adjective in ("blue", "cold", "hot", "large", "red")
     for noun in ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget")
 }
+RESPONSES = ("Closed", *(f"Closed with {how}" for how in ("explanation", "monetary relief", "non-monetary relief")), "In progress")
 BUCKETS = 1 << 18  # of hashed tokens
 
 # Slices shown by the registered queries.
@@ -122,10 +123,13 @@ def _case_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         scored = complement_nb(train, test, buckets=BUCKETS).join(test.select("id", "label"), "id")
         return _rounded(text.evaluate(scored), "accuracy", "recall_0", "recall_1")
 
-    def comparison(t):
-        compared = text.compare_feature_sets(text.training_set(t, keep=["product"]), "product")
+    def model_comparison(t):
+        compared = comparison.compare_feature_sets(text.training_set(t, keep=["product"]), "product")
         return _rounded(compared, "accuracy")
 
+    def smoothing_grid(t):
+        return _rounded(comparison.tune_smoothing(text.training_set(t, keep=["product"]), "product"), "accuracy")
+
     return {
         "missing_profile": on(*PROFILE_COLUMNS, then=profile.missing_profile),
         "sample_rows": on(*COMPLAINT_SCHEMA.fieldNames(), then=profile.sample_rows),
@@ -233,7 +237,8 @@ def _case_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "narrative_scores": on_texts(hashed_scores),
         "svm_scores": on_texts(svm_scores),
         "model_accuracy": on_texts(accuracy),
-        "model_comparison": on_texts(comparison),
+        "model_comparison": on_texts(model_comparison),
+        "smoothing_grid": on_texts(smoothing_grid),
     }
 
 
@@ -455,20 +460,22 @@ fold_rows AS (
   SELECT f, feature_set, key, CASE WHEN feature_set = 'tfidf' THEN ln((n + 1.0) / (df + 1.0)) ELSE 1.0 END AS idf,
          idf * n1 AS t0, idf * n0 AS t1
   FROM counts JOIN (SELECT f, count(*) AS n FROM fold_rows JOIN folds ON fold <> f GROUP BY f) USING (f)
+), smoothings AS (
+  SELECT unnest([0.1, 0.5, 1.0, 2.0]) AS a
 ), totals AS (
-  SELECT f, feature_set, ln(sum(t0) + count(*)) AS b0, ln(sum(t1) + count(*)) AS b1
-  FROM learnt GROUP BY f, feature_set
+  SELECT a, f, feature_set, ln(sum(t0) + a * count(*)) AS b0, ln(sum(t1) + a * count(*)) AS b1
+  FROM learnt, smoothings GROUP BY a, f, feature_set
 ), hits AS (
-  SELECT keyed.feature_set, id, sum(idf) AS known, sum(idf * ln(t0 + 1)) AS s0, sum(idf * ln(t1 + 1)) AS s1
-  FROM keyed JOIN learnt ON f = fold AND learnt.feature_set = keyed.feature_set AND learnt.key = keyed.key
-  GROUP BY keyed.feature_set, id
+  SELECT a, keyed.feature_set, id, sum(idf) AS known, sum(idf * ln(t0 + a)) AS s0, sum(idf * ln(t1 + a)) AS s1
+  FROM keyed JOIN learnt ON f = fold AND learnt.feature_set = keyed.feature_set AND learnt.key = keyed.key, smoothings
+  GROUP BY a, keyed.feature_set, id
 ), judged AS (
-  SELECT totals.feature_set, fold,
+  SELECT totals.a, totals.feature_set, fold,
          (coalesce(known * b1 - s1, 0) > coalesce(known * b0 - s0, 0) + 1e-9) = (label = 1) AS correct
   FROM fold_rows JOIN totals ON f = fold
-  LEFT JOIN hits ON hits.id = fold_rows.id AND hits.feature_set = totals.feature_set
+  LEFT JOIN hits ON hits.id = fold_rows.id AND hits.feature_set = totals.feature_set AND hits.a = totals.a
 ), by_fold AS (
-  SELECT feature_set, fold, avg(CAST(correct AS DOUBLE)) AS accuracy FROM judged GROUP BY feature_set, fold
+  SELECT a, feature_set, fold, avg(CAST(correct AS DOUBLE)) AS accuracy FROM judged GROUP BY a, feature_set, fold
 )"""
 
 
@@ -642,7 +649,7 @@ JOIN ranked ON ranked.company_name = total.company_name AND place <= 5""",
         "response_trend": over(response_trend, select="SELECT * FROM category_trend"),
         "response_trend_wide": over(
             response_trend,
-            select=_wide("Closed", "Closed with explanation", "Closed with monetary relief", "In progress"),
+            select=_wide(*RESPONSES),
         ),
         "product_trend": over(product_trend, select="SELECT * FROM category_trend"),
         "product_trend_wide": over(product_trend, select=_wide(*(f"Brand#{i}" for i in range(1, 26)))),
@@ -729,7 +736,12 @@ FROM decided""",
         ),
         "model_comparison": over_texts(
             _COMPARISON,
-            select="SELECT feature_set, round(avg(accuracy), 6) AS accuracy FROM by_fold GROUP BY feature_set",
+            select="SELECT feature_set, round(avg(accuracy), 6) AS accuracy FROM by_fold WHERE a = 1 GROUP BY feature_set",
+        ),
+        "smoothing_grid": over_texts(
+            _COMPARISON,
+            select="""SELECT feature_set, CAST(a AS DOUBLE) AS smoothing, round(avg(accuracy), 6) AS accuracy
+FROM by_fold GROUP BY feature_set, a""",
         ),
         "model_accuracy": over_texts(
             f"""

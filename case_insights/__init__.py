@@ -4,6 +4,7 @@ from case_insights.operators.chi2 import chi2
 from case_insights.operators.complement_nb import complement_nb
 from case_insights.operators.contingency import contingency, expected, pair_cells
 from case_insights.operators.fisher import fisher_exact
+from case_insights.plans.comparison import compare_feature_sets, tune_smoothing
 from case_insights.plans.distribution import (
     issue_children,
     issue_counts,
@@ -29,7 +30,6 @@ from case_insights.plans.outcomes import (
 )
 from case_insights.plans.profile import company_count, missing_profile, sample_rows, top_companies
 from case_insights.plans.text import (
-    compare_feature_sets,
     compare_models,
     evaluate,
     fit_text,

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from case_insights.functions.columns import two_decimals
-from case_insights.functions.tokens import TOKEN_PATTERN, bucket, tokens
+from case_insights.functions.tokens import TOKEN_PATTERN
 from case_insights.operators.complement_nb import complement_nb
 from case_insights.plans.trends import MONETARY, NON_MONETARY
 from case_insights.sources.schema import NARRATIVE, RESPONSE
@@ -56,6 +56,11 @@ def _bucket(seed: int) -> Column:
     return F.conv(F.substring(_draw(seed), 1, 8), 16, 10).cast("bigint")
 
 
+def fold_of(folds: int, seed: int = 0) -> Column:
+    """The fold of a row, by a hash of its id."""
+    return (_bucket(seed) % folds).cast("int")
+
+
 def held_out(t: DataFrame, percent: int = 20, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(train, test), split by a hash of the id."""
     part = _bucket(seed) % 100
@@ -190,7 +195,7 @@ def compare_models(
         numFolds=folds,
         foldCol="fold",
         parallelism=parallelism,
-    ).fit(train.withColumn("fold", (_bucket(0) % folds).cast("int")))
+    ).fit(train.withColumn("fold", fold_of(folds)))
     rows = [
         ("+".join(["text", *f]), v, c, float(a))
         for (f, v, c), a in zip(combinations, fitted.avgMetrics)
@@ -198,80 +203,3 @@ def compare_models(
     return train.sparkSession.createDataFrame(
         rows, "feature_set string, vectorizer string, classifier string, accuracy double"
     ).orderBy(F.desc("accuracy"), "feature_set", "vectorizer", "classifier")
-
-
-FEATURE_SETS = ("unigram", "bigram", "tfidf", "unigram+category")
-
-
-def compare_feature_sets(
-    train: DataFrame, category: str, folds: int = 3, buckets: int = 1 << 18, smoothing: float = 1.0
-) -> DataFrame:
-    """(feature_set, accuracy): complement naive Bayes, cross-validated, for each set of hashed features,
-    best first. ``train`` is (id, narrative, label 0 or 1, category).
-
-    Terms are made once for all sets and folds. Counts are kept by fold, so what a fold learns from is
-    all counts less its own, and every fold is scored in one pass. Folds come from a hash of the id.
-    Equal rows count as often as they occur.
-    """
-    text = F.coalesce(F.col(NARRATIVE), F.lit(""))
-    rows = (
-        train.select("id", "label", (_bucket(0) % folds).cast("int").alias("fold"), text.alias("text"), category)
-        .groupBy("id", "label", "fold", "text", category)
-        .agg(F.count(F.lit(1)).alias("m"))
-        .withColumn("row", F.sha2(F.to_json(F.struct("id", "label", "text", category)), 256))
-    )
-    words = tokens(F.col("text"))
-    pairs = F.transform(
-        F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda word, i: F.concat_ws(" ", F.get(words, i), word),
-    )
-    flag = F.array(F.concat_ws("=", F.lit(category), F.coalesce(F.col(category), F.lit(""))))
-    lists = dict(zip(FEATURE_SETS, (words, pairs, words, F.concat(words, flag))))
-    each = F.array(
-        *(
-            F.struct(F.lit(name).alias("feature_set"), F.transform(x, lambda t: bucket(t, buckets)).alias("keys"))
-            for name, x in lists.items()
-        )
-    )
-    terms = (
-        rows.select("row", "label", "fold", "m", F.explode(each).alias("x"))
-        .select("row", "label", "fold", "m", "x.feature_set", F.explode("x.keys").alias("key"))
-        .groupBy("feature_set", "key", "row", "label", "fold", "m")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    own = [
-        F.sum(F.when((F.col("fold") == f) & (F.col("label") == c), F.col("tf") * F.col("m")).otherwise(0)).alias(f"n{f}_{c}")
-        for f in range(folds)
-        for c in (0, 1)
-    ] + [F.sum(F.when(F.col("fold") == f, F.col("m")).otherwise(0)).alias(f"d{f}") for f in range(folds)]
-    sizes = rows.agg(
-        F.struct(F.sum("m").alias("n"), *(F.sum(F.when(F.col("fold") == f, F.col("m")).otherwise(0)).alias(f"n{f}") for f in range(folds)))
-    ).scalar()
-
-    def learnt(f: int) -> Column:
-        others = [g for g in range(folds) if g != f]
-        n0, n1, held = (sum(F.col(name.format(g)) for g in others) for name in ("n{}_0", "n{}_1", "d{}"))
-        idf = F.when(F.col("feature_set") == "tfidf", F.log((sizes["n"] - sizes[f"n{f}"] + 1.0) / (held + 1.0))).otherwise(1.0)
-        return F.struct(F.lit(f).alias("fold"), idf.alias("idf"), n0.alias("n0"), n1.alias("n1"))
-
-    counts = terms.groupBy("feature_set", "key").agg(*own)
-    weights = (
-        counts.select("feature_set", "key", F.explode(F.array(*(learnt(f) for f in range(folds)))).alias("x"))
-        .select("feature_set", "key", "x.*")
-        .filter("n0 + n1 > 0")
-        .select("feature_set", "key", "fold", "idf", (F.col("idf") * F.col("n1")).alias("t0"), (F.col("idf") * F.col("n0")).alias("t1"))
-    )
-    totals = weights.groupBy("feature_set", "fold").agg(
-        *(F.log(F.sum(f"t{c}") + F.lit(smoothing) * F.count(F.lit(1))).alias(f"b{c}") for c in (0, 1))
-    )
-    hits = terms.join(weights, ["feature_set", "key", "fold"]).groupBy("feature_set", "row").agg(
-        F.sum(F.col("tf") * F.col("idf")).alias("known"),
-        *(F.sum(F.col("tf") * F.col("idf") * F.log(F.col(f"t{c}") + F.lit(smoothing))).alias(f"s{c}") for c in (0, 1)),
-    )
-    names = F.explode(F.array(*(F.lit(name) for name in FEATURE_SETS))).alias("feature_set")
-    scored = rows.select("row", "label", "fold", "m", names).join(hits, ["feature_set", "row"], "left")
-    scored = scored.join(totals, ["feature_set", "fold"], "left")
-    zero, one = (F.coalesce(F.col("known") * F.col(f"b{c}") - F.col(f"s{c}"), F.lit(0.0)) for c in (0, 1))
-    right = F.when((one > zero + 1e-9) == (F.col("label") == 1), F.col("m")).otherwise(0)
-    by_fold = scored.groupBy("feature_set", "fold").agg((F.sum(right) / F.sum("m")).alias("accuracy"))
-    return by_fold.groupBy("feature_set").agg(F.avg("accuracy").alias("accuracy")).orderBy(F.desc("accuracy"), "feature_set")

@@ -17,6 +17,7 @@ from case_insights.operators.complement_nb import complement_nb
 from case_insights.operators.contingency import contingency, expected, pair_cells
 from case_insights.operators.fisher import fisher_exact
 from case_insights.plans import text, trends
+from case_insights.plans.comparison import compare_feature_sets, tune_smoothing
 from case_insights.sources.schema import NARRATIVE, RESPONSE
 from case_insights.sources.star import star_complaints, star_narratives
 
@@ -250,8 +251,8 @@ def test_compare_models_covers_every_combination(spark):
 
 def test_feature_sets_count_repeated_rows(spark):
     train = _texts(spark).withColumn("kind", F.lit("k"))
-    once = {r.feature_set: r.accuracy for r in text.compare_feature_sets(train, "kind").collect()}
-    twice = {r.feature_set: r.accuracy for r in text.compare_feature_sets(train.union(train), "kind").collect()}
+    once = {r.feature_set: r.accuracy for r in compare_feature_sets(train, "kind").collect()}
+    twice = {r.feature_set: r.accuracy for r in compare_feature_sets(train.union(train), "kind").collect()}
     assert once.keys() == set(text.FEATURE_SETS) == twice.keys()
     assert once["unigram"] > 0.6 and all(0 < a <= 1 for a in twice.values())
 
