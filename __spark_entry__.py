@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from case_insights.operators.chi2 import chi2
-from case_insights.operators.complement_nb import complement_nb
+from case_insights.operators.complement_nb import complement_nb, learn, load_model, save_model, score_texts
 from case_insights.operators.contingency import contingency, expected, pair_cells
 from case_insights.operators.fisher import fisher_exact
 from case_insights.plans import comparison, distribution, outcomes, profile, text, trends
 from case_insights.sources.lookups import PROFILE_COLUMNS, lookup_frame
-from case_insights.sources.schema import COMPLAINT_SCHEMA, NARRATIVE, RESPONSE
+from case_insights.sources.schema import COMPLAINT_SCHEMA, NARRATIVE, RESPONSE, read_narratives_csv
+from case_insights.sources.scratch import scratch_dir
 from case_insights.sources.star import star_complaints, star_narratives
 
 try:  # the training-data operators and their pipeline may be absent
@@ -115,6 +116,16 @@ def _case_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def hashed_scores(t):
         return _rounded(text.score_narratives(text.training_set(t), t, BUCKETS), "prob_max")
 
+    def stored_scores(t):
+        path = scratch_dir(t.sparkSession, "model")
+        save_model(learn(text.training_set(t), buckets=BUCKETS), path)
+        return _rounded(score_texts(load_model(t.sparkSession, path), t), "prob_max")
+
+    def csv_narratives(t):
+        path = scratch_dir(t.sparkSession, "csv")
+        t.select(NARRATIVE, "product").write.csv(path, header=True, quoteAll=True, escape='"')
+        return read_narratives_csv(t.sparkSession, path)
+
     def svm_scores(t):
         return text.score(text.fit_text(text.training_set(t), classifier="linear_svm"), t)
 
@@ -235,6 +246,8 @@ def _case_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "complement_nb_sql": on_texts(nb_scores),
         "duplicate_narrative_scores": on_texts(duplicate_scores),
         "narrative_scores": on_texts(hashed_scores),
+        "stored_model_scores": on_texts(stored_scores),
+        "csv_narratives": on_texts(csv_narratives),
         "svm_scores": on_texts(svm_scores),
         "model_accuracy": on_texts(accuracy),
         "model_comparison": on_texts(model_comparison),
@@ -734,6 +747,10 @@ shown AS (
             select="""SELECT id, prediction, round(prob, 6) AS prob_max, printf('%.2f', prob) AS prob_text
 FROM decided""",
         ),
+        "stored_model_scores": over_texts(_nb("training", "texts", _HASHED), select=scores),
+        "csv_narratives": over_texts(
+            select=f"SELECT md5({NARRATIVE}) AS id, {NARRATIVE} FROM (SELECT nullif({NARRATIVE}, '') AS {NARRATIVE} FROM texts)"
+        ),
         "model_comparison": over_texts(
             _COMPARISON,
             select="SELECT feature_set, round(avg(accuracy), 6) AS accuracy FROM by_fold WHERE a = 1 GROUP BY feature_set",

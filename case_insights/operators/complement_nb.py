@@ -4,37 +4,103 @@ For class c, token weight is ln(T_c + alpha V) - ln(t_c + alpha), where t_c coun
 other classes, T_c is the sum of t_c over the V tokens, and a text's score for c adds the weights of
 its known tokens. So per token only ln(t_c + alpha) has to meet the texts.
 
-Tokens go by a key of fixed length: their 128-bit hash, or with ``buckets`` one of that many buckets,
+Tokens go by two 64-bit hashes with different seeds, or with ``buckets`` by one of that many buckets,
 which tokens may share.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from case_insights.functions.tokens import bucket, tokens
 from case_insights.sources.schema import NARRATIVE
 
+KEY = ["h1", "h2"]
+
+
+def _hashes(text: Column, seed: int = 0) -> Column:
+    return F.struct(F.xxhash64(F.lit(seed), text).alias("h1"), F.xxhash64(F.lit(seed + 1), text).alias("h2"))
+
 
 def _keys(text: Column, buckets: int | None) -> Column:
     """One key for each token of the text."""
     if buckets:
-        return F.transform(tokens(text), lambda t: F.unhex(F.lpad(F.hex(bucket(t, buckets)), 16, "0")))
-    return F.transform(tokens(text), lambda t: F.unhex(F.md5(t.cast("binary"))))
+        return F.transform(tokens(text), lambda t: F.struct(bucket(t, buckets).alias("h1"), F.lit(0).cast("long").alias("h2")))
+    return F.transform(tokens(text), lambda t: _hashes(t))
 
 
 def token_counts(train: DataFrame, classes: Sequence[float], buckets: int | None = None) -> DataFrame:
-    """(key, n0, n1, ...): occurrences of each token in each class. Counts are combined before the
+    """(h1, h2, n0, n1, ...): occurrences of each token in each class. Counts are combined before the
     shuffle, so a token that is everywhere costs one row per task."""
-    words = train.select("label", F.explode(_keys(F.col(NARRATIVE), buckets)).alias("key"))
-    return words.groupBy("key").agg(
+    words = train.select("label", F.explode(_keys(F.col(NARRATIVE), buckets)).alias("key")).select("label", "key.*")
+    return words.groupBy(*KEY).agg(
         *(F.count_if(F.col("label") == c).alias(f"n{i}") for i, c in enumerate(classes))
     )
 
 
+@dataclass(frozen=True)
+class TokenModel:
+    """What is learnt: the counts of each token, and their totals ``v``, ``seen``, ``n0``, ``n1``, ... as one struct."""
+
+    counts: DataFrame
+    totals: Column
+    classes: tuple[float, ...]
+    smoothing: float
+    buckets: int | None
+
+
+def _totals(counts: DataFrame, classes: Sequence[float]) -> Column:
+    index = range(len(classes))
+    return F.struct(
+        F.count(F.lit(1)).alias("v"),
+        F.coalesce(F.sum(sum(F.col(f"n{i}") for i in index)), F.lit(0)).alias("seen"),
+        *(F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in index),
+    )
+
+
+def learn(
+    train: DataFrame, classes: Sequence[float] = (0.0, 1.0), smoothing: float = 1.0, buckets: int | None = None
+) -> TokenModel:
+    """A model of the texts and labels of ``train``. Lazy: it is worked out with each use, unless saved."""
+    counts = token_counts(train, classes, buckets)
+    return TokenModel(counts, counts.agg(_totals(counts, classes)).scalar(), tuple(classes), smoothing, buckets)
+
+
+def save_model(model: TokenModel, path: str, parts: int = 200) -> None:
+    """Write a model to a folder: the counts as a table in ``parts`` buckets by token, so that later scoring reads
+    them without a shuffle, and a row with the rest. An existing model there is replaced."""
+    spark = model.counts.sparkSession
+    name = f"token_counts_{uuid.uuid4().hex}"
+    writer = model.counts.repartition(parts, *KEY).write.mode("overwrite").format("parquet")
+    writer.bucketBy(parts, *KEY).sortBy(*KEY).option("path", f"{path}/counts").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay, as they lie at a path of their own
+    stored = spark.read.schema(model.counts.schema).parquet(f"{path}/counts")
+    stored.agg(
+        _totals(stored, model.classes).alias("totals"),
+        F.lit(parts).alias("parts"), F.lit(float(model.smoothing)).alias("smoothing"),
+        F.lit(model.buckets).cast("long").alias("buckets"), F.array(*(F.lit(float(c)) for c in model.classes)).alias("classes"),
+    ).write.mode("overwrite").parquet(f"{path}/model")
+
+
+def load_model(spark: SparkSession, path: str) -> TokenModel:
+    """A model that ``save_model`` wrote, also in another session. Its table is registered for this session."""
+    row = spark.read.parquet(f"{path}/model").first()
+    columns = ", ".join(f"{c} BIGINT" for c in [*KEY, *(f"n{i}" for i in range(len(row.classes)))])
+    name = f"token_counts_{uuid.uuid4().hex}"
+    by = ", ".join(KEY)
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {row.parts} BUCKETS "
+        f"LOCATION '{path}/counts'"
+    )
+    totals = F.struct(*(F.lit(v).alias(k) for k, v in row.totals.asDict().items()))
+    return TokenModel(spark.table(name), totals, tuple(row.classes), row.smoothing, row.buckets)
+
+
 def complement_nb(
     train: DataFrame,
     texts: DataFrame,
@@ -43,7 +109,12 @@ def complement_nb(
     buckets: int | None = None,
     frequent_share: float = 1e-5,
 ) -> DataFrame:
-    """(id, prediction, prob_max in percent) for every row of ``texts``, learnt from ``train``. Lazy.
+    """``score_texts`` with a model learnt from ``train``. Lazy."""
+    return score_texts(learn(train, classes, smoothing, buckets), texts, frequent_share)
+
+
+def score_texts(model: TokenModel, texts: DataFrame, frequent_share: float = 1e-5) -> DataFrame:
+    """(id, prediction, prob_max in percent) for every row of ``texts``. Lazy.
 
     Each distinct text is scored once and joined back to its rows, so ids need not be unique, and a
     null text scores like an empty one. Equal scores go to the earlier class.
@@ -52,68 +123,75 @@ def complement_nb(
     1 / frequent_share of them, of fixed size. Texts add them up where they are read. What is left is
     one row per text for all of those, and one per text and rarer token; only these meet the other
     weights. A key that many texts have and training hardly has is left to adaptive skew splitting.
+    Likewise the scores of texts that make up ``frequent_share`` of the rows or more are broadcast to them.
     """
-    index = range(len(classes))
-    counts = token_counts(train, classes, buckets)
+    counts, totals, smoothing = model.counts, model.totals, F.lit(model.smoothing)
+    index = range(len(model.classes))
     seen = sum(F.col(f"n{i}") for i in index)
-    totals = counts.agg(
-        F.struct(
-            F.count(F.lit(1)).alias("v"),
-            F.coalesce(F.sum(seen), F.lit(0)).alias("seen"),
-            *(F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in index),
-        )
-    ).scalar()
-    frequent = F.lit(frequent_share) * totals["seen"]
     weights = counts.select(
-        "key",
-        seen.alias("seen"),
-        F.lit(1).alias("hit"),
-        *(F.log(seen - F.col(f"n{i}") + F.lit(smoothing)).alias(f"w{i}") for i in index),
+        *KEY, seen.alias("seen"), F.lit(1).alias("hit"),
+        *(F.log(seen - F.col(f"n{i}") + smoothing).alias(f"w{i}") for i in index),
     )
+    frequent = F.lit(frequent_share) * totals["seen"]
     near = weights.filter(F.col("seen") >= frequent).drop("seen")
     far = weights.filter(F.col("seen") < frequent).select(
-        "key", F.col("hit").alias("found"), *(F.col(f"w{i}").alias(f"r{i}") for i in index)
+        *KEY, F.col("hit").alias("found"), *(F.col(f"w{i}").alias(f"r{i}") for i in index)
     )
 
     text = F.coalesce(F.col(NARRATIVE), F.lit(""))
-    named = texts.select("id", F.unhex(F.sha2(text.cast("binary"), 256)).alias("text_key"), text.alias(NARRATIVE))
-    distinct = named.groupBy("text_key").agg(F.first(NARRATIVE).alias(NARRATIVE))
-    words = distinct.select("text_key", F.explode_outer(_keys(F.col(NARRATIVE), buckets)).alias("key"))
+    named = texts.select("id", _hashes(text, 2).alias("text_key"), text.alias(NARRATIVE))
+    distinct = named.groupBy("text_key").agg(F.first(NARRATIVE).alias(NARRATIVE), F.count(F.lit(1)).alias("copies"))
+    words = distinct.select("text_key", "copies", F.explode_outer(_keys(F.col(NARRATIVE), model.buckets)).alias("key"))
+    # A text's own row of frequent tokens has no partner. The text's hashes stand in for a token's (with buckets,
+    # whose second hash is 0, an odd one does), so that those rows spread too.
+    own = F.struct(F.col("text_key.h1").alias("h1"), F.col("text_key.h2").bitwiseOR(F.lit(1)).alias("h2"))
     per_text = (
-        words.join(F.broadcast(near), "key", "left")
-        .groupBy("text_key", F.when(F.col("hit").isNull(), F.col("key")).alias("rest"))
+        words.select("text_key", "copies", "key.*")
+        .join(F.broadcast(near), KEY, "left")
+        .withColumn("rest", F.when(F.col("hit").isNull() & F.col("h1").isNotNull(), F.struct(*KEY)))
+        .groupBy("text_key", "copies", F.coalesce("rest", own).alias("key"))
         .agg(
-            F.count("key").alias("tf"),
+            F.count("h1").alias("tf"),
             F.count("hit").alias("known"),
             *(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"w{i}") for i in index),
         )
+        .select("text_key", "copies", "key.*", "tf", "known", *(f"w{i}" for i in index))
     )
-    # A text's own row of frequent tokens has no partner. The text's key, longer than any token's,
-    # stands in for one, so that those rows spread too.
-    keyed = per_text.withColumn("key", F.coalesce("rest", "text_key"))
     tf = F.when(F.col("found").isNotNull(), F.col("tf")).otherwise(0)
     sums = (
-        keyed.join(far, "key", "left")
-        .groupBy("text_key")
+        per_text.join(far, KEY, "left")
+        .groupBy("text_key", "copies")
         .agg(
             F.sum(F.col("known") + tf).alias("known"),
             *(F.sum(F.col(f"w{i}") + tf * F.coalesce(f"r{i}", F.lit(0.0))).alias(f"w{i}") for i in index),
         )
     )
     scores = sums.select(
-        "text_key",
+        "text_key", "copies",
         *(
             F.when(totals["v"] == 0, 0.0)
             .otherwise(
-                F.col("known") * F.log(totals["seen"] - totals[f"n{i}"] + F.lit(smoothing) * totals["v"])
+                F.col("known") * F.log(totals["seen"] - totals[f"n{i}"] + smoothing * totals["v"])
                 - F.col(f"w{i}")
             )
             .alias(f"s{i}")
             for i in index
         ),
     )
-    decided = _decide(scores, classes)
-    return named.select("id", "text_key").join(decided, "text_key").select("id", "prediction", "prob_max")
+    many = F.lit(frequent_share) * texts.agg(F.count(F.lit(1))).scalar()
+    return _to_rows(named.select("id", "text_key"), _decide(scores, model.classes), many)
+
+
+def _to_rows(named: DataFrame, decided: DataFrame, many: Column) -> DataFrame:
+    """The scores of each text for all of its rows. Those of texts with ``many`` rows are broadcast."""
+    often = (F.col("copies") >= many) & (F.col("copies") > 1)
+    near = decided.filter(often).select("text_key", F.col("prediction").alias("p"), F.col("prob_max").alias("m"))
+    far = decided.filter(~often).select(F.col("text_key").alias("rest"), "prediction", "prob_max")
+    met = named.join(F.broadcast(near), "text_key", "left")
+    # rows that are served have no partner left; their ids spread them
+    met = met.withColumn("rest", F.when(F.col("p").isNull(), F.col("text_key")).otherwise(_hashes(F.col("id").cast("string"), 4)))
+    found = met.join(far, "rest", "left")
+    return found.select("id", F.coalesce("p", "prediction").alias("prediction"), F.coalesce("m", "prob_max").alias("prob_max"))
 
 
 def _decide(scores: DataFrame, classes: Sequence[float]) -> DataFrame:
@@ -124,4 +202,4 @@ def _decide(scores: DataFrame, classes: Sequence[float]) -> DataFrame:
         *(F.when(F.col(s) >= best - 1e-9, F.lit(float(c))) for s, c in zip(names, classes))
     )
     odds = sum(F.exp(F.col(s) - best) for s in names)
-    return scores.select("text_key", prediction.alias("prediction"), (100 / odds).alias("prob_max"))
+    return scores.select("text_key", "copies", prediction.alias("prediction"), (100 / odds).alias("prob_max"))

@@ -84,6 +84,7 @@ _SETS = {
     "tfidf": ("tfidf", "<", "term"),
     "unigram+category": ("category", "<", "term + flag"),
 }
+FEATURE_SETS = tuple(_SETS)
 
 
 def tune_smoothing(

@@ -7,6 +7,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from case_insights.functions.columns import counted
+from case_insights.operators.complement_nb import learn, load_model, save_model, score_texts
 from case_insights.plans import marts, outcomes, text
 from case_insights.sources.lookups import (
     DISPUTE_RESPONSES,
@@ -149,3 +150,43 @@ def test_sql_with_a_list_parameter_gives_the_same(spark):
     theirs = spark.sql(sql, args={"responses": list(DISPUTE_RESPONSES)}, c=c)
     ours = outcomes.dispute_by_response(c)
     assert {(r[0], r[1].title(), r[2]) for r in theirs.collect()} == {tuple(r) for r in ours.collect()}
+
+
+def test_a_saved_model_scores_without_a_shuffle_of_its_counts(spark, tmp_path):
+    t = star_narratives(spark, SF)
+    model = learn(text.training_set(t))
+    save_model(model, str(tmp_path / "model"), parts=6)
+    other = spark.newSession()  # with a catalog of its own
+    loaded = load_model(other, str(tmp_path / "model"))
+    assert (loaded.classes, loaded.smoothing, loaded.buckets) == ((0.0, 1.0), 1.0, None)
+    texts = star_narratives(other, SF)
+    other.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    df = score_texts(loaded, texts, frequent_share=0.01)
+    mine = {r.id: r for r in df.collect()}
+    theirs = {r.id: r for r in score_texts(model, t).collect()}
+    assert mine.keys() == theirs.keys()
+    for i, r in theirs.items():
+        assert mine[i].prediction == r.prediction and mine[i].prob_max == pytest.approx(r.prob_max, abs=1e-9)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # of the two sides of a join by token only the texts are shuffled, into as many parts as the counts have
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning(h1" in line]
+    assert plan.count("SortMergeJoin [h1") == len(shuffled) > 0 and all(", 6)" in line for line in shuffled)
+    save_model(model, str(tmp_path / "model"), parts=3)  # a model is replaced
+    again = score_texts(load_model(spark, str(tmp_path / "model")), t)
+    assert {r.id: r.prediction for r in again.collect()} == {i: r.prediction for i, r in theirs.items()}
+
+
+def test_rows_of_a_frequent_text_spread(spark):
+    train = spark.createDataFrame([("refund loan", 1.0), ("agent letter", 0.0)], f"{NARRATIVE} string, label double")
+    many = spark.range(3000).selectExpr(
+        "id", f"CASE WHEN id % 3 = 0 THEN 'refund loan' WHEN id % 3 = 1 THEN null ELSE concat('letter ', id) END AS {NARRATIVE}"
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = score_texts(learn(train), many, frequent_share=0.1)
+        sizes = [len(p) for p in df.rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {r.id: r.prediction for r in df.collect()}
+    assert len(got) == 3000 and all(got[i] == float(i % 3 == 0) for i in range(3000))
+    assert max(sizes) < 2 * 3000 / len(sizes)

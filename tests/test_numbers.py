@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -17,7 +18,7 @@ from case_insights.operators.complement_nb import complement_nb
 from case_insights.operators.contingency import contingency, expected, pair_cells
 from case_insights.operators.fisher import fisher_exact
 from case_insights.plans import text, trends
-from case_insights.plans.comparison import compare_feature_sets, tune_smoothing
+from case_insights.plans.comparison import FEATURE_SETS, _keyed, compare_feature_sets, tune_smoothing
 from case_insights.sources.schema import NARRATIVE, RESPONSE
 from case_insights.sources.star import star_complaints, star_narratives
 
@@ -249,11 +250,39 @@ def test_compare_models_covers_every_combination(spark):
     assert all(0 <= r.accuracy <= 1 for r in got.collect())
 
 
+def test_a_long_text_costs_in_proportion(spark):
+    def seconds(words):
+        train = spark.range(1).selectExpr(
+            "id", "1.0D AS label", "'k' AS kind", f"concat_ws(' ', transform(sequence(1, {words}), i -> concat('w', i % 5000))) AS {NARRATIVE}"
+        )
+        best = []
+        for _ in range(3):
+            start = time.time()
+            assert _keyed(train, "kind", 3, 1 << 18).selectExpr("sum(size(pairs))").first()[0] == words - 1
+            best.append(time.time() - start)
+        return min(best)
+
+    seconds(100)
+    short, long = seconds(8_000), seconds(80_000)  # with a step for each pair of words, 100 times as long
+    assert long < 25 * short
+
+
+def test_smoothing_values_are_scored_as_one_by_one(spark):
+    train = _texts(spark).withColumn("kind", F.lit("k"))
+    grid = tune_smoothing(train, "kind", (0.25, 1.0, 4.0)).collect()
+    assert len(grid) == 12
+    for a in (0.25, 1.0, 4.0):
+        alone = {r.feature_set: r.accuracy for r in compare_feature_sets(train, "kind", smoothing=a).collect()}
+        assert alone == {r.feature_set: r.accuracy for r in grid if r.smoothing == a}
+    with pytest.raises(ValueError):
+        tune_smoothing(train, "kind", buckets=1 << 20)
+
+
 def test_feature_sets_count_repeated_rows(spark):
     train = _texts(spark).withColumn("kind", F.lit("k"))
     once = {r.feature_set: r.accuracy for r in compare_feature_sets(train, "kind").collect()}
     twice = {r.feature_set: r.accuracy for r in compare_feature_sets(train.union(train), "kind").collect()}
-    assert once.keys() == set(text.FEATURE_SETS) == twice.keys()
+    assert once.keys() == set(FEATURE_SETS) == twice.keys()
     assert once["unigram"] > 0.6 and all(0 < a <= 1 for a in twice.values())
 
 
