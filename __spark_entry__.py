@@ -16,8 +16,10 @@ from case_insights.operators.chi2 import chi2
 from case_insights.operators.complement_nb import complement_nb, learn, load_model, save_model, score_texts
 from case_insights.operators.contingency import contingency, expected, pair_cells
 from case_insights.operators.fisher import fisher_exact
-from case_insights.plans import comparison, distribution, outcomes, profile, text, trends
-from case_insights.sources.lookups import PROFILE_COLUMNS, lookup_frame
+from case_insights.operators.heavy_hitters import top_values
+from case_insights.plans import comparison, distribution, marts, outcomes, profile, sketches, text, trends
+from case_insights.plans.sql_functions import register_functions
+from case_insights.sources.lookups import DISPUTE_RESPONSES, PROFILE_COLUMNS, lookup_frame
 from case_insights.sources.schema import COMPLAINT_SCHEMA, NARRATIVE, RESPONSE, read_narratives_csv
 from case_insights.sources.scratch import scratch_dir
 from case_insights.sources.star import star_complaints, star_narratives
@@ -104,6 +106,23 @@ def _case_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         )
         return pair_cells(d, "relief", "dispute", weight="count_response")
 
+    def in_sql(call: str, **args):
+        """A call of an SQL table function over a view of the cases."""
+
+        def run(c):
+            spark = c.sparkSession
+            c.createOrReplaceTempView("cases_for_sql")
+            register_functions(spark, "cases_for_sql", only=[call.split("(")[0]])
+            return spark.sql(f"SELECT * FROM {call}", args=args)
+
+        return run
+
+    def sketched_companies(c):
+        exact = c.groupBy(F.year("date_received").alias("year")).agg(F.countDistinct("company_name").alias("companies"))
+        about = sketches.companies_by_year(sketches.company_sketches(c)).withColumnRenamed("companies", "about")
+        off = F.abs(F.col("about") - F.col("companies")) / F.col("companies")
+        return exact.join(about, "year").select("year", "companies", "cases", (off <= 4 * sketches.STANDARD_ERROR).alias("close"))
+
     def nb_scores(t):
         return _rounded(complement_nb(text.training_set(t), t), "prob_max")
 
@@ -241,6 +260,17 @@ def _case_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "company_count": on("company_name", then=profile.company_count),
         "top_companies": on("company_name", then=profile.top_companies),
+        "base_counts": on(*marts.COLUMNS, marts.DAY, then=marts.base_table),
+        "daily_base_counts": on(*marts.COLUMNS, marts.DAY, then=lambda c: marts.base_table(c, by_day=True)),
+        "frequent_companies": on("company_name", then=lambda c: top_values(c, "company_name")),
+        "frequent_zip_codes": on("zip_code", then=lambda c: top_values(c, "zip_code", 25)),
+        "sketched_companies": on("date_received", "company_name", then=sketched_companies),
+        "sql_dispute_by_response": on(*disputes, then=in_sql("dispute_by_response(:r)", r=list(DISPUTE_RESPONSES))),
+        "sql_product_totals": on("product", "subproduct", then=in_sql("product_totals(10)")),
+        "sql_state_counts": on(*states, then=in_sql("state_counts(:p, :s)", p=PRODUCT, s=SUBPRODUCT)),
+        "sql_issue_pairs": on(*issues, then=in_sql("issue_pairs(5)")),
+        "sql_daily_trend": on("date_received", then=in_sql("daily_trend(:y)", y=SINCE)),
+        "sql_top_companies": on("company_name", then=in_sql("top_companies(10)")),
         "training_set": on_texts(text.training_set),
         "random_narrative": on_texts(text.random_narrative),
         "complement_nb_sql": on_texts(nb_scores),
@@ -369,6 +399,16 @@ def _wide(*categories: str) -> str:
     return f"SELECT * FROM (PIVOT category_trend ON category IN ({listed}) USING max(mva) GROUP BY date_received)"
 
 
+def _base_counts(by_day: bool) -> str:
+    parts = []
+    for name, (columns, kept) in marts.FAMILIES.items():
+        kept = "day" if by_day else kept
+        date = {"day": "date_received", "year": "CAST(date_trunc('year', date_received) AS DATE)", None: "CAST(NULL AS DATE)"}[kept]
+        shown = ", ".join(c if c in columns else f"NULL AS {c}" for c in marts.COLUMNS)
+        parts.append(f"SELECT '{name}' AS family, {date} AS date_received, {shown}, count(*) AS _cases FROM complaints GROUP BY ALL")
+    return " UNION ALL ".join(parts)
+
+
 def _cells(row: str, col: str, n: str) -> str:
     return f"""
 cells AS (
@@ -725,6 +765,37 @@ cells AS (
         "top_companies": over(
             select="""SELECT count(DISTINCT company_name) AS total_companies, company_name,
        count(*) AS total_complaints
+FROM complaints GROUP BY company_name ORDER BY 3 DESC, 2 LIMIT 10"""
+        ),
+        "base_counts": over(select=_base_counts(False)),
+        "daily_base_counts": over(select=_base_counts(True)),
+        "frequent_companies": over(
+            select="SELECT company_name, count(*) AS cnt FROM complaints GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"
+        ),
+        "frequent_zip_codes": over(
+            select="SELECT zip_code, count(*) AS cnt FROM complaints GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25"
+        ),
+        "sketched_companies": over(
+            select="""SELECT CAST(year(date_received) AS INTEGER) AS year, count(DISTINCT company_name) AS companies,
+       count(*) AS cases, TRUE AS close FROM complaints WHERE date_received IS NOT NULL GROUP BY 1"""
+        ),
+        "sql_dispute_by_response": over(_DISPUTES, select="SELECT * FROM disputes"),
+        "sql_product_totals": over(
+            select="""SELECT product, count(product) AS counts_complaints FROM complaints
+WHERE subproduct IS NOT NULL GROUP BY product ORDER BY 2 DESC, 1 LIMIT 10"""
+        ),
+        "sql_state_counts": over(
+            pss,
+            select=f"""SELECT state, counts_complaints FROM pss
+WHERE product = '{PRODUCT}' AND subproduct = '{SUBPRODUCT}'""",
+        ),
+        "sql_issue_pairs": over(
+            _PAIRS, select="SELECT i AS issue, s AS subissue, cnt FROM all_pairs WHERE cnt >= 5"
+        ),
+        "sql_daily_trend": over(_TREND, select="SELECT * FROM trend"),
+        "sql_top_companies": over(
+            select="""SELECT count(DISTINCT company_name) AS total_companies, company_name,
+       count(*) AS total_complaints
 FROM complaints GROUP BY company_name ORDER BY 3 DESC, 2 LIMIT 10"""
         ),
         "training_set": over_texts(select="SELECT * FROM training"),

@@ -1,9 +1,10 @@
 """Analysis of large tables of customer cases, as functions from DataFrame to DataFrame."""
 
 from case_insights.operators.chi2 import chi2
-from case_insights.operators.complement_nb import complement_nb
+from case_insights.operators.complement_nb import complement_nb, learn, load_model, save_model, score_texts
 from case_insights.operators.contingency import contingency, expected, pair_cells
 from case_insights.operators.fisher import fisher_exact
+from case_insights.operators.heavy_hitters import top_values
 from case_insights.plans.comparison import compare_feature_sets, tune_smoothing
 from case_insights.plans.distribution import (
     issue_children,
@@ -29,6 +30,8 @@ from case_insights.plans.outcomes import (
     response_share,
 )
 from case_insights.plans.profile import company_count, missing_profile, sample_rows, top_companies
+from case_insights.plans.sketches import companies_between, companies_by_year, company_sketches, read_company_sketches, refresh_company_sketches
+from case_insights.plans.sql_functions import register_functions
 from case_insights.plans.text import (
     compare_models,
     evaluate,

@@ -28,7 +28,7 @@ FAMILIES: dict[str, tuple[tuple[str, ...], str | None]] = {
     "cases_by_year_company": (("company_name", RESPONSE), "year"),
 }
 DAY = "date_received"
-_COLUMNS = list(dict.fromkeys(c for columns, _ in FAMILIES.values() for c in columns))
+COLUMNS = list(dict.fromkeys(c for columns, _ in FAMILIES.values() for c in columns))
 
 
 def _of_family(grain: Mapping[str, Column], name: Column) -> Column:
@@ -46,10 +46,10 @@ def base_table(c: DataFrame, by_day: bool = False) -> DataFrame:
 
     The scan repeats a case once for each family, without its other columns, and counts are combined before the
     shuffle."""
-    rows = c.select(DAY, F.trunc(DAY, "year").alias("_year"), *_COLUMNS, *([CASES] if CASES in c.columns else []))
+    rows = c.select(DAY, F.trunc(DAY, "year").alias("_year"), *COLUMNS, *([CASES] if CASES in c.columns else []))
     date = {None: [], "day": [DAY], "year": ["_year"]}
     sets = {name: [*columns, *(date["day"] if by_day else date[kept])] for name, (columns, kept) in FAMILIES.items()}
-    keys = [k for k in (DAY, "_year", *_COLUMNS) if any(k in s for s in sets.values())]
+    keys = [k for k in (DAY, "_year", *COLUMNS) if any(k in s for s in sets.values())]
     counts = rows.groupingSets([[F.col(k) for k in s] for s in sets.values()], *keys).agg(
         F.grouping_id().alias("_set"), n_cases(rows).alias(CASES)
     )
@@ -59,7 +59,7 @@ def base_table(c: DataFrame, by_day: bool = False) -> DataFrame:
     counts = counts.withColumn("family", family)
     if not by_day:
         counts = counts.withColumn(DAY, F.coalesce(DAY, "_year"))
-    return counts.select("family", DAY, *_COLUMNS, CASES)
+    return counts.select("family", DAY, *COLUMNS, CASES)
 
 
 def family_counts(base: DataFrame) -> dict[str, DataFrame]:
@@ -84,11 +84,11 @@ def refresh_days(c: DataFrame, path: str) -> None:
 def read_days(spark: SparkSession, path: str, c_schema: StructType) -> DataFrame:
     """The base table of the days stored at ``path``, each family's date as finely as it asks."""
     types = {f.name: f for f in c_schema}
-    fields = [StructField("family", StringType()), types[DAY], *(types[k] for k in _COLUMNS), StructField(CASES, LongType())]
+    fields = [StructField("family", StringType()), types[DAY], *(types[k] for k in COLUMNS), StructField(CASES, LongType())]
     days = spark.read.schema(StructType(fields)).parquet(path)
     grain = {"day": F.col(DAY), "year": F.trunc(DAY, "year")}
     day = _of_family(grain, F.col("family"))
-    return days.groupBy("family", day.alias(DAY), *_COLUMNS).agg(F.sum(CASES).alias(CASES))
+    return days.groupBy("family", day.alias(DAY), *COLUMNS).agg(F.sum(CASES).alias(CASES))
 
 
 def report_tables(
