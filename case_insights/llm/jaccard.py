@@ -9,6 +9,11 @@ only those that can reach the bound are worth adding up:
   ``n - ceil(t n) + 1`` n-grams in a common order. Only that part of the matrix is stored. Against a row that is no
   smaller, its first ``n - ceil(2 t n / (1 + t)) + 1`` are enough. The order puts
   n-grams of busy hash buckets last, so columns of boilerplate are left out; bucket counts cover all texts.
+- Of a column only rows stay that have another row of a size within the bound in it; of a column of two, also only
+  if what stands around the n-gram leaves the bound within reach. Most columns are shared by chance.
+- A row has a signature of 256 bits, in which each of its n-grams flips one. Two rows' signatures differ in no more bits
+  than their sets in n-grams, and linked rows differ in at most (1 - t) / (1 + t) of the sum of their sizes. Pairs
+  that differ in more are dropped, by the last product as it joins; where the bound is beyond 256, none are.
 - Column blocks are multiplied by joins on the n-gram. Overlaps are added up for each pair, and a pair is
   discarded if its overlap so far plus all that may follow stays below the bound of its two sizes.
 - What remains is decided by the exact overlap of the whole sets.
@@ -56,26 +61,33 @@ def _digest(grams: np.ndarray) -> int:
     return int(W.mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def _signature(grams: np.ndarray) -> bytes:
+    """256 bits, each the parity of the n-grams that flip it."""
+    flips = W.mix(np.bitwise_xor(grams, _SALT >> np.uint64(1))) >> np.uint64(56)
+    return np.packbits(np.bincount(flips.astype(np.int64), minlength=256) & 1).tobytes()
+
+
 def _classes(k: int, bits: int):
-    """Rows (0, doc_id, size, digest) of documents, and at the end of a task (1, bucket, count, null)."""
+    """Rows (0, doc_id, size, digest, signature) of documents, and at the end of a task (1, bucket, count, null,
+    null)."""
 
     def run(batches):
         counts = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            size, digest = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+            size, digest, signature = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows
             for row, grams in _sets(batch, k):
-                size[row], digest[row] = len(grams), _digest(grams)
+                size[row], digest[row], signature[row] = len(grams), _digest(grams), _signature(grams)
                 counts += np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(batch.num_rows, np.int32)), batch.column("doc_id").cast(pa.int64()),
-                 pa.array(size), pa.array(digest, pa.int64())],
-                ["kind", "id", "n", "v"],
+                 pa.array(size), pa.array(digest, pa.int64()), pa.array(signature, pa.binary())],
+                ["kind", "id", "n", "v", "bits"],
             )
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.ones(len(used), np.int32)), pa.array(used), pa.array(counts[used]),
-             pa.nulls(len(used), pa.int64())],
-            ["kind", "id", "n", "v"],
+             pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary())],
+            ["kind", "id", "n", "v", "bits"],
         )
 
     return run
@@ -155,7 +167,7 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     most = F.col("shared") + F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) - 1
     return (
         rows.groupBy("a", "b")
-        .agg(F.countDistinct("gram").alias("shared"), *(F.max(c).alias(c) for c in ("an", "bn", "ap", "bp")))
+        .agg(F.count("gram").alias("shared"), *(F.max(c).alias(c) for c in ("an", "bn", "ap", "bp")))
         .filter(most >= need)
         .select("a", "b", "an", "bn")
     )
@@ -175,9 +187,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, filter_bi
     bitmap = bytearray(filter_bits // 8)
     for block, bits in blocks:
         bitmap[(block - 1) * 4096 : block * 4096] = bits
-    wanted = _wanted_sets(k, docs.sparkSession.sparkContext.broadcast(bytes(bitmap)))
-    sets = docs.mapInArrow(wanted, "v long, grams binary")
+    marks = docs.sparkSession.sparkContext.broadcast(bytes(bitmap))
+    sets = docs.mapInArrow(_wanted_sets(k, marks), "v long, grams binary")
     sets = saved(sets.join(ends.distinct(), "v", "left_semi"), "sets")
+    marks.destroy()
     # a task writes a set once, so each has a few rows at most; they are equal
     one = sets.groupBy("v").agg(F.first("grams").alias("grams"))
     links = saved(
@@ -206,6 +219,12 @@ def _may_reach(n: str, place: str, m: str, at: str, percent: int) -> str:
     )
 
 
+def _alike(percent: int) -> str:
+    """SQL: whether the signatures a0 to a3 and b0 to b3 let rows of sizes an and bn link."""
+    differ = " + ".join(f"bit_count(a{i} ^ b{i})" for i in range(4))
+    return f"{100 + percent} * ({differ}) <= {100 - percent} * (an + bn)"
+
+
 def _product(rows: DataFrame, turn: int, leaders: int, percent: int) -> DataFrame:
     """The shared n-grams a, an, ap, b, bn, bp of pairs of different components: of each row with each leader of its
     column, or without ``leaders`` of all pairs of rows."""
@@ -227,10 +246,14 @@ def _product(rows: DataFrame, turn: int, leaders: int, percent: int) -> DataFram
     else:
         mixed = rows.join(heads.select("gram"), "gram", "left_semi")
         left, right = (
-            mixed.select("gram", F.col("v").alias(x), F.col("n").alias(f"{x}n"), F.col("place").alias(f"{x}p"), F.col("c").alias(f"{x}c"))
+            mixed.select(
+                "gram", F.col("v").alias(x), F.col("n").alias(f"{x}n"), F.col("place").alias(f"{x}p"), F.col("c").alias(f"{x}c"),
+                *(F.col(f"bits{i}").alias(f"{x}{i}") for i in range(4)),
+            )
             for x in "ab"
         )
-        both = left.join(right, "gram").filter(f"a < b and ac <> bc and {near}").drop("ac", "bc")
+        both = left.join(right, "gram").filter(f"a < b and ac <> bc and {near} and {_alike(percent)}")
+        both = both.drop("ac", "bc", *(f"{x}{i}" for x in "ab" for i in range(4)))
     return both
 
 
@@ -257,26 +280,45 @@ def jaccard_components(
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     context = docs.sparkSession.sparkContext
-    seen = saved(docs.mapInArrow(_classes(k, bucket_bits), "kind int, id long, n long, v long"), "classes")
+    seen = saved(docs.mapInArrow(_classes(k, bucket_bits), "kind int, id long, n long, v long, bits binary"), "classes")
     counts = np.zeros(1 << bucket_bits, np.int64)
     for bucket, n in seen.filter("kind = 1").groupBy("id").agg(F.sum("n")).collect():  # 2^bucket_bits at most
         counts[bucket] = n
     rank = np.empty(1 << bucket_bits, np.uint64)
     rank[np.argsort(counts, kind="stable")] = np.arange(1 << bucket_bits, dtype=np.uint64)
 
-    stored = docs.mapInArrow(
-        _incidence(k, percent, context.broadcast(rank), bucket_bits), "gram long, v long, n int, place int"
-    )
-    column = Window.partitionBy("gram")
-    stored = stored.withColumns({"low": F.min("v").over(column), "high": F.max("v").over(column)})
-    stored = saved(stored.filter("low < high").drop("low", "high"), "stored")
+    ranks = context.broadcast(rank)
+    stored = docs.mapInArrow(_incidence(k, percent, ranks, bucket_bits), "gram long, v long, n int, place int")
+    # a task writes a set once; here each n-gram and set meet once, on the exchange that the columns need
+    stored = stored.repartition("gram").groupBy("gram", "v").agg(F.first("n").alias("n"), F.first("place").alias("place"))
+    by_size = Window.partitionBy("gram").orderBy("n", "v")
+    stored = stored.withColumns({
+        "before": F.lag(F.struct("n", "place")).over(by_size), "after": F.lead(F.struct("n", "place")).over(by_size),
+        "third": F.coalesce(F.lag("n", 2).over(by_size), F.lead("n", 2).over(by_size)),
+    })
+    partner = F.coalesce("before", "after")
+    pair = F.expr(_may_reach("least(n, other.n)", "if(n <= other.n, place, other.place)", "greatest(n, other.n)", "if(n <= other.n, other.place, place)", percent))
+    # within a column of three and more the middle row has neighbours on both sides
+    two = F.col("third").isNull() & (F.col("before").isNull() | F.col("after").isNull())
+    sized = f"(100 * before.n >= {percent} * n) or (100 * n >= {percent} * after.n)"
+    stored = stored.withColumn("other", partner).filter(F.coalesce(F.when(two, pair).otherwise(F.expr(sized)), F.lit(False)))
+    stored = saved(stored.select("gram", "v", "n", "place"), "stored")
+    ranks.destroy()
+    bits = seen.filter("v is not null").groupBy("v").agg(F.first("bits").alias("bits"))
+    bits = bits.select("v", *(F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"bits{i}") for i in range(4)))
 
     labels, decided = None, []
     for turn, most in enumerate((*leaders, 0)):
         rows = stored.withColumn("c", F.col("v"))
         if labels is not None:
             rows = stored.join(labels.toDF("v", "c"), "v", "left").withColumn("c", F.coalesce("c", "v"))
+        if not most:
+            rows = rows.join(bits, "v")
         pairs = _pairs(_product(rows, turn, most, percent), percent)
+        if most:  # the last product has looked at the signatures
+            for x in "ab":
+                pairs = pairs.join(bits.toDF(x, *(f"{x}{i}" for i in range(4))), x)
+            pairs = pairs.filter(_alike(percent)).select("a", "b", "an", "bn")
         for known in decided:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
