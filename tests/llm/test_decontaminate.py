@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from case_insights.llm.decontaminate import common_subsequence, find_leaks
+from case_insights.llm.decontaminate import _any_of, _signatures, common_subsequence, find_leaks
 from case_insights.llm.entry import queries
 
 SF = "/root/testdata/sf0.1"
@@ -75,3 +75,39 @@ def test_item_in_half_of_the_documents(spark):
         spark.createDataFrame([(1, item), (2, noise(30))], "item_id long, text string"),
     ).collect()
     assert sorted((r.doc_id, r.item_id) for r in found) == [(i, 1) for i in range(1, 400, 2)]
+
+
+def test_short_items_and_long_ones(spark):
+    """Items below eight words are found as exact runs, and such runs only; longer ones at any length."""
+    rng = random.Random(9)
+
+    def noise(n):
+        return " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+
+    items = {i: " ".join(f"s{i}x{j}" for j in range(n)) for i, n in enumerate([1, 2, 3, 6, 6, 7])}
+    items |= {i: noise(n) + "." for i, n in ((10, 30), (11, 150), (12, 600))}
+    items[20] = items[3]  # the same words under another id
+    rows = [(i, f"{noise(50)} {t.upper()}! {noise(50)} {t}") for i, t in items.items()]
+    broken = items[4].split()
+    rows += [(100, f"{noise(20)} {' '.join(broken[:3])} other {' '.join(broken[3:])}"), (101, None), (102, ""),
+             (103, " ".join(broken[:5])), (104, " ".join(broken[1:]) + " " + broken[0])]
+    found = find_leaks(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3),
+        spark.createDataFrame(list(items.items()), "item_id long, text string"),
+    ).collect()
+    wanted = [(i, i) for i in items if i > 1] + [(3, 20), (20, 3)]
+    assert sorted((r.doc_id, r.item_id) for r in found) == sorted(wanted)
+    assert {r.near_word for r in found if r.item_id in (2, 3, 4, 5, 20)} == {50}
+
+
+def test_signatures_bound_the_words_in_common():
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 1 << 16, 4000).astype(np.uint16)
+    starts = np.arange(0, 4000, 8)
+    runs = _any_of(_signatures(ids, starts), 7)
+    for _ in range(200):
+        at = int(rng.integers(0, 490))
+        near = ids[8 * at : 8 * at + 56]
+        item = np.concatenate([rng.choice(near, 10), rng.integers(0, 1 << 16, 20).astype(np.uint16)])
+        missing = np.bitwise_count(_signatures(item, np.array([0]))[0] & ~runs[at]).sum()
+        assert len(item) - missing >= np.isin(item, near).sum()
