@@ -13,7 +13,7 @@ from case_insights.llm.extract import main_text
 from case_insights.llm.jaccard import jaccard_components
 from case_insights.llm.mixing import mix_sources
 from case_insights.llm.negatives import mine_hard_negatives
-from case_insights.llm.packing import pack_by_retrieval
+from case_insights.llm.packing import pack_by_retrieval, special_tokens
 from case_insights.llm.ring import shard_by_ring
 from case_insights.llm.sized import scaled, usable
 from case_insights.llm.store import documents
@@ -64,7 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_main_text": lambda spark, sf: main_text(documents(spark, sf, "pages")),
         "op7_url_rules": lambda spark, sf: judge_urls(documents(spark, sf, "pages")),
         "op8_retrieval_packing": lambda spark, sf: pack_by_retrieval(
-            documents(spark, sf), byte_vocabulary(vocabulary_path())
+            documents(spark, sf), byte_vocabulary(vocabulary_path()), special=special_tokens(vocabulary_path())
         ),
         "op9_token_counts": lambda spark, sf: token_counts(documents(spark, sf), byte_vocabulary(vocabulary_path())),
         "op10_ngram_jaccard": lambda spark, sf: jaccard_components(documents(spark, sf)),

@@ -15,58 +15,97 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from case_insights.llm import words as W
 from case_insights.llm.store import saved
 
 # Fixed value: how byte-level BPE vocabularies of this family split text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 300_000  # words whose ids a task keeps
+BATCH_BYTES = 1 << 23  # of text whose words are encoded together
 K1, B = 1.2, 0.75
+NEAREST = 32  # neighbours sorted first; all others follow if a window takes more
 DIRECTIONS, BUCKETS = 128, 256  # of a projected tail; of a centroid's tails
 MAX_CENTROIDS, SAMPLE_PER_CENTROID, ROUNDS = 4096, 16, 8  # bound the fit, not the tails dealt
 _SEED = 5
 
+# Fixed value: white space for the pattern above.
+_SPACE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 # Where a cut before a space could change the ids: within a run of white space, or before a space that ends the text.
-_UNSAFE = re.compile(r"[\s\x1c-\x1f\x85] (?:[\s\x1c-\x1f\x85]|\Z)")
+_UNSAFE = rf"[{_SPACE}] (?:[{_SPACE}]|\z)"
+_ODD = rf"\A\z|\A[{_SPACE}]|[{_SPACE}]\z"
 
 
-class Encoder(dict):
-    """Ids, as bytes of unsigned numbers, of whole texts. Words with a space before them are remembered."""
+class Encoder:
+    """Ids of whole texts. Each distinct word of a batch, with the space before it, is encoded once, all in one call;
+    its ids are then put where it stands. ``special``: tokens that text can spell, each with its id."""
 
-    def __init__(self, vocabulary: list[bytes]):
+    def __init__(self, vocabulary: list[bytes], special: dict[str, int] | None = None):
         import tiktoken
 
-        super().__init__()
         ranks = {piece: i for i, piece in enumerate(vocabulary)}
         self.codec = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.kind = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
+        self.special = special or {}
+        last = max([len(vocabulary) - 1, *self.special.values()])
+        self.kind = np.dtype("<u2" if last < 1 << 16 else "<u4")
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.spelt = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.special else None
+        self.sizes = np.array([len(piece) for piece in vocabulary], np.int64)
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.codec.encode_ordinary(text), self.kind).tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.codec.encode_ordinary(text), self.kind)
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self._ids(" " + word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+    def _whole(self, text: str) -> np.ndarray:
+        parts = self.spelt.split(text) if self.spelt else [text]  # every other part is a special token
+        return np.concatenate(
+            [np.array([self.special[x]], self.kind) if i % 2 else self._ids(x) for i, x in enumerate(parts)])
 
     def encode(self, text: str) -> np.ndarray:
-        if _UNSAFE.search(text):
-            ids = self._ids(text)
-        else:
-            head, *rest = text.split(" ")
-            ids = self._ids(head) + b"".join(map(self.__getitem__, rest))
-        return np.frombuffer(ids, self.kind)
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+    def encode_all(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (a null has none), and the n + 1 offsets of rows."""
+        texts = pc.fill_null(column, "").cast(pa.large_string())
+        if not len(texts):
+            return np.zeros(0, self.kind), np.zeros(1, np.int64)
+        whole = pc.match_substring_regex(texts, _UNSAFE)
+        for token in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        words = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        first = words.offsets.to_numpy().astype(np.int64)
+        first, flat = first - first[0], words.flatten()
+        coded = flat.dictionary_encode()
+        # a text's first word has no space before it; a whole text is one word here
+        heads = flat.take(pa.array(first[:-1])).to_pylist()
+        own = [self._whole(texts[i].as_py()) if w else self._ids(heads[i]) for i, w in enumerate(whole.to_pylist())]
+        # words that begin or end with white space could join with the next one
+        odd = pc.match_substring_regex(coded.dictionary, _ODD).to_numpy(zero_copy_only=False)
+        usual = coded.dictionary.filter(pa.array(~odd))
+        joined = self._ids("".join(" " + w for w in usual.to_pylist()))
+        ends = np.cumsum(pc.binary_length(usual).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        cut = np.searchsorted(np.cumsum(self.sizes[joined]), ends) + 1
+        own_odd = [self._ids(" " + w) for w in coded.dictionary.filter(pa.array(odd)).to_pylist()]
+        sizes = np.concatenate([np.diff(cut, prepend=0), [len(x) for x in own_odd], [len(x) for x in own]]).astype(np.int64)
+        values = np.concatenate([joined, *own_odd, *own])
+        place = np.empty(len(odd), np.int64)
+        place[~odd], place[odd] = np.arange(len(usual)), len(usual) + np.arange(len(own_odd))
+        at = place[coded.indices.to_numpy()]
+        at[first[:-1]] = len(odd) + np.arange(len(texts))
+        offsets = np.concatenate([[0], np.cumsum(sizes)]) * self.kind.itemsize
+        pieces = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(values)]).take(pa.array(at))
+        _, ends, data = pieces.buffers()
+        ids = np.frombuffer(data, self.kind) if data else np.zeros(0, self.kind)
+        return ids, np.frombuffer(ends, np.int64)[: len(at) + 1][first] // self.kind.itemsize
 
 
 def checksum(ids: np.ndarray) -> int:
@@ -74,28 +113,40 @@ def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def special_tokens(path: str) -> dict[str, int]:
+    """The tokens of a tokenizer's file that text can spell, with their ids."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+
+
 @functools.lru_cache(4)
-def _encoder(vocabulary: tuple[bytes, ...]) -> Encoder:
+def _encoder(vocabulary: tuple[bytes, ...], special: tuple[tuple[str, int], ...]) -> Encoder:
     """Made once in a worker process, not in each task."""
-    return Encoder(list(vocabulary))
+    return Encoder(list(vocabulary), dict(special))
+
+
+def _documents(encoder: Encoder, batch: pa.RecordBatch, end_id: int):
+    for part in W.slices(batch, size=BATCH_BYTES):
+        ids, first = encoder.encode_all(part.column("text"))
+        for doc, a, b in zip(part.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist()):
+            yield doc, np.append(ids[a:b], encoder.kind.type(end_id))
 
 
 _TOKENISED = "kind int, row long, doc_id long, start long, length long, crc long, doc_tokens long, ids binary"
 
 
-def _tokenised(vocabulary, window: int, end_id: int):
+def _tokenised(vocabulary, terms: int, window: int, end_id: int):
     """kind 0: a full window; 1: a tail with its ids; 2: token ``start`` is in ``length`` tails of the task,
     and token -1 stands for the total length of its tails, with their number in doc_tokens."""
 
     def run(batches):
-        encoder = _encoder(vocabulary.value)
-        holders = np.zeros(len(vocabulary.value) + 1, np.int64)
+        encoder = _encoder(*vocabulary.value)
+        holders = np.zeros(terms + 1, np.int64)
         row, tails, tail_tokens = TaskContext.get().partitionId() << 33, 0, 0
         names = [c.split()[0] for c in _TOKENISED.split(", ")]
         for batch in batches:
             out = [[] for _ in names]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.append(encoder.encode(text.as_py() or ""), encoder.kind.type(end_id))
+            for doc, ids in _documents(encoder, batch, end_id):
                 for start in range(0, len(ids), window):
                     part = ids[start : start + window]
                     row += 1
@@ -241,6 +292,14 @@ class Index:
         return np.bincount(self.docs[at], self.weights[at], minlength=self.size)
 
 
+def _best(score: np.ndarray, n: int) -> np.ndarray:
+    """Places of the ``n`` best scores and of those equal to the last of them, best first, ties by place."""
+    if n >= len(score):
+        return np.argsort(-score, kind="stable")
+    near = np.flatnonzero(score >= np.partition(score, len(score) - n)[len(score) - n])
+    return near[np.argsort(-score[near], kind="stable")]
+
+
 def fill_windows(lengths: list[int], scores, window: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces (tail, start, length, sequence, offset). ``scores(i)``: of all tails as neighbours of tail i."""
     rest, taken = np.array(lengths), np.zeros(len(lengths), np.int64)
@@ -259,8 +318,10 @@ def fill_windows(lengths: list[int], scores, window: int) -> list[tuple[int, int
                 used += n
                 if used < window and ranked is None:
                     open_tails = np.flatnonzero(rest)
-                    by_score = np.argsort(-scores(seed)[open_tails], kind="stable")
-                    ranked = open_tails[by_score]
+                    score = scores(seed)[open_tails]
+                    ranked = open_tails[_best(score, NEAREST)]
+                elif used < window and place == len(ranked) < len(open_tails):
+                    ranked = open_tails[_best(score, len(score))]  # starts with those before
                 at = None
                 if used < window and place < len(ranked):
                     at = int(ranked[place])
@@ -295,20 +356,24 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 def pack_by_retrieval(
-    docs: DataFrame, vocabulary: list[bytes], window: int = 1024, end_id: int = 0, shard_tails: int = 2048
+    docs: DataFrame, vocabulary: list[bytes], window: int = 1024, end_id: int = 0, shard_tails: int = 2048,
+    special: dict[str, int] | None = None,
 ) -> DataFrame:
     """Pieces ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of all rows of ``docs``
     (doc_id, text; other columns are ignored).
 
     A document is the ids of its whole text (a null text counts as empty) and ``end_id``; each id lies in
-    exactly one piece. start and doc_tokens count ids; offset is the piece's place in its sequence, without
+    exactly one piece. Where a text spells a token of ``special`` (text and id), it is that token. start and doc_tokens count ids; offset is the piece's place in its sequence, without
     gaps. Rows are packed one by one, so repeated rows and null ids are packed too; equally good neighbours
     go by row number. An empty table gives no rows."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(tuple(vocabulary))  # a vocabulary is a parameter, not data
+    special = special or {}
+    terms = max([len(vocabulary) - 1, end_id, *special.values()]) + 1
+    # a vocabulary is a parameter, not data
+    shared = spark.sparkContext.broadcast((tuple(vocabulary), tuple(sorted(special.items()))))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = saved(docs.mapInArrow(_tokenised(shared, window, end_id), _TOKENISED), "tokens")
-    holders = np.zeros(len(vocabulary) + 1)
+    rows = saved(docs.mapInArrow(_tokenised(shared, terms, window, end_id), _TOKENISED), "tokens")
+    holders = np.zeros(terms + 1)
     tails = length = 0
     counted = rows.filter("kind = 2").groupBy("start").agg(F.sum("length"), F.sum("doc_tokens"))
     for token, n, m in counted.collect():  # at most one row for each token of the vocabulary
@@ -323,7 +388,7 @@ def pack_by_retrieval(
         (F.col("row") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
     )
     shards = max(1, round(tails / shard_tails))
-    kind, idf = "<u2" if len(vocabulary) <= 1 << 16 else "<u4", spark.sparkContext.broadcast(idf)
+    kind, idf = "<u2" if terms <= 1 << 16 else "<u4", spark.sparkContext.broadcast(idf)
     pack = _packed(kind, window, idf, length / max(tails, 1))
     open_ = rows.filter("kind = 1").select("row", "doc_id", "start", "doc_tokens", "ids")
     packed = _dealt(open_, tails, shards, kind, idf).groupBy("shard").applyInArrow(pack, _PIECES)

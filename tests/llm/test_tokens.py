@@ -3,11 +3,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from case_insights.llm.entry import vocabulary_path
-from case_insights.llm.packing import Encoder, pack_by_retrieval
+from case_insights.llm.packing import Encoder, Index, fill_windows, pack_by_retrieval, special_tokens
 from case_insights.llm.wordpiece import LongestMatch, byte_vocabulary, token_counts
 
 
@@ -18,9 +19,7 @@ def vocabulary():
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(vocabulary_path())
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(vocabulary_path())
 
 
 def greedy(pieces: set[bytes], word: bytes) -> int:
@@ -60,11 +59,15 @@ def test_words_that_cannot_be_spelt_are_one_token(spark):
 
 
 def test_ids_are_those_of_the_tokenizer(vocabulary, tokenizer, texts):
-    encoder = Encoder(vocabulary)
+    encoder = Encoder(vocabulary, special_tokens(vocabulary_path()))
     rng = random.Random(6)
     odd = ["".join(rng.choice("aB1 \n\t '.s!　é\x1c") for _ in range(rng.randint(0, 12))) for _ in range(3000)]
-    for text in [*odd, *(t or "" for _, t in texts), "<|endoftext|> x"]:
-        assert encoder.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    all_ = [*odd, *(t or "" for _, t in texts), "<|endoftext|> x", "a  <|endoftext|><|endoftext|>\n  b <|endoftext|", "<|endoftext|>"]
+    ids, first = encoder.encode_all(pa.array([None, *all_, None], pa.string()).slice(1))
+    assert len(first) == len(all_) + 2 and first[-1] == first[-2] == len(ids)
+    for text, a, b in zip(all_, first, first[1:]):
+        wanted = tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids[a:b].tolist() == wanted and encoder.encode(text).tolist() == wanted, repr(text)
 
 
 def check_pieces(rows, texts, tokenizer, window):
@@ -113,6 +116,45 @@ def test_related_documents_share_a_sequence(spark, vocabulary):
     assert most > 0.6
 
 
+def test_texts_that_spell_a_special_token(spark, vocabulary, tokenizer):
+    texts = [(1, "<|endoftext|>"), (2, "one <|endoftext|> two" * 40), (3, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = pack_by_retrieval(docs, vocabulary, window=64, special=special_tokens(vocabulary_path())).collect()
+    check_pieces(rows, texts, tokenizer, 64)
+
+
+def test_windows_take_neighbours_by_bm25(monkeypatch):
+    """Scores against the formula, and each window against a plain greedy choice."""
+    monkeypatch.setattr("case_insights.llm.packing.NEAREST", 2)
+    rng = np.random.default_rng(4)
+    tails = [rng.integers(0, 50, rng.integers(1, 30)).astype("<u2") for _ in range(60)] + [np.array([1, 2], "<u2")] * 5
+    holders = np.bincount(np.concatenate([np.unique(t) for t in tails]), minlength=50)
+    idf = np.maximum(0, np.log((len(tails) - holders + 0.5) / (holders + 0.5)))
+    mean = np.mean([len(t) for t in tails])
+    index = Index(tails, idf, mean)
+
+    def bm25(query, tail):
+        times = [(idf[t], (tail == t).sum()) for t in np.unique(query)]
+        return sum(w * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(tail) / mean)) for w, n in times)
+
+    wanted = [[bm25(q, t) for t in tails] for q in tails]
+    for i, scores in enumerate(wanted):
+        assert np.allclose(index.scores(i), scores)
+    rest, expected = [len(t) for t in tails], []
+    for seed in range(len(tails)):
+        while rest[seed]:
+            free, row = 100, [seed]
+            while free and row:
+                n = min(rest[row[-1]], free)
+                expected.append((row[-1], len(tails[row[-1]]) - rest[row[-1]], n))
+                rest[row[-1]] -= n
+                free -= n
+                left = [i for i in range(len(tails)) if rest[i]]
+                row = [max(left, key=lambda i: (index.scores(seed)[i], -i))] if left else []
+    found = fill_windows([len(t) for t in tails], index.scores, 100)
+    assert [p[:3] for p in found] == expected
+
+
 def test_nothing_to_pack(no_docs, vocabulary):
     assert pack_by_retrieval(no_docs, vocabulary).collect() == []
 
