@@ -1,6 +1,7 @@
 """Main text of web pages: boosted trees judge the blocks of a page's tree, and a tree-wide decoding chooses.
 
-A block is an element that starts a line of its own; what stands inline in it is part of it. The trees see its
+A block is an element that starts a line of its own; what stands inline in it is part of it. Text right below the
+page is a block of its own, up to the next block or empty line. The trees see its
 tag, tokens of its class, id and role and of those of its ancestors, text and link density of its subtree,
 depth, and how it compares with its siblings. Decoding maximises the sum of the blocks' scores, weighted by
 their own text, under one rule: a block can only be kept if its parent is. So the choices of ancestors and
@@ -27,10 +28,12 @@ from case_insights.llm.boosting import BoostedTrees
 
 # Elements of the HTML standard by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas title textarea select head".split())
+RAW = frozenset("script style title textarea head annotation annotation-xml".split())
+HIDDEN = frozenset("noscript template svg iframe object canvas select".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror "
+    "mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics".split()
 )
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset("article main".split())
@@ -56,11 +59,12 @@ BAD_TOKENS = frozenset(
 )
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",  # with a quote that nothing ends
+    re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|style|data-keep)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-FEATURES = 27
 SAMPLE_PAGES, SAMPLE_BYTES = 300, 50_000
 
 
@@ -73,47 +77,83 @@ class Page:
         self.good, self.bad, self.keep = [0], [0], [None]
         self.own, self.linked, self.items = [0], [0], [0]
         self.pieces: list[tuple[int, str | None]] = []
+        self.run: int | None = None  # the open block of text right below the page
+        self.breaks = 0  # line breaks since its last text
         self._parse(source)
 
+    def _block(self, tag: str, parent: int, good: int = 0, bad: int = 0, keep: bool | None = None) -> int:
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        self.good.append(good)
+        self.bad.append(bad)
+        self.keep.append(keep)
+        for column in (self.own, self.linked, self.items):
+            column.append(0)
+        return len(self.tag) - 1
+
+    def _ends_line(self, block: int) -> None:
+        self.pieces.append((block, None))
+        self.run = None
+
     def _parse(self, source: str) -> None:
         open_: list[tuple[str, int]] = [("html", 0)]  # element and its block
         links, at, end = 0, 0, len(source)
+        marked: list[bool] = []  # roles of open inline elements, in pages made for training
         while at < end:
             found = _TAG.search(source, at)
             if found is None:
-                self._text(open_[-1][1], source[at:], links)
+                self._text(open_[-1][1], source[at:], links, marked)
                 break
             if found.start() > at:
-                self._text(open_[-1][1], source[at : found.start()], links)
+                self._text(open_[-1][1], source[at : found.start()], links, marked)
             at = found.end()
-            name = (found[2] or "").lower()
+            closes, attributes = found[1] or found[4], found[3] or found[6] or ""
+            name = (found[2] or found[5] or "").lower()
             if not name:
                 continue
-            if found[1]:
+            if closes:
+                if name == "span":
+                    marked.clear()
                 if name == "a":
                     links = 0
                 if any(name == o for o, _ in open_[1:]):
                     while open_[-1][0] != name:
                         open_.pop()
                     open_.pop()
-                    if name not in INLINE:
-                        self.pieces.append((open_[-1][1], None))
+                    if name not in INLINE and open_[-1][1] >= 0:
+                        self._ends_line(open_[-1][1])
                 continue
+            if open_[-1][1] < 0 and name in ENDED_BY["p"]:
+                # a block can't stand in a drawing or a choice: what wasn't closed ends here
+                first = next(i for i, (_, b) in enumerate(open_) if b < 0)
+                if open_[first][0] in ("svg", "select") and all(o != "foreignobject" for o, _ in open_[first:]):
+                    del open_[first:]
             if name in RAW:
-                if not found[3].endswith("/"):
+                if not attributes.endswith("/"):
                     close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
                     at = close.end() if close else (at if name == "head" else end)
                 continue
             if name in VOID:
                 block = open_[-1][1]
-                self.pieces.append((block, " " if name == "br" else "" if name in INLINE else None))
+                if block < 0:
+                    continue
+                if name == "br" or name in INLINE:
+                    self.breaks += name == "br"
+                    if not block and self.breaks > 1:
+                        self.run = None
+                    self.pieces.append((self.run if self.run and not block else block, " " if name == "br" else ""))
+                else:
+                    self._ends_line(block)
                 continue
             if name in ("html", "body"):
                 continue
-            if name in INLINE:
+            if name in INLINE or name in HIDDEN or (open_[-1][1] < 0 and name not in ENDED_BY["p"]):
                 links = 1 if name == "a" else links
-                if not found[3].endswith("/"):
-                    open_.append((name, open_[-1][1]))
+                if "data-keep" in attributes:
+                    marked[:] = ['"1"' in attributes]
+                if not attributes.endswith("/"):
+                    open_.append((name, -1 if name in HIDDEN else open_[-1][1]))
                 continue
             # the nearest open block element may end here
             for i in range(len(open_) - 1, 0, -1):
@@ -124,9 +164,13 @@ class Page:
                     break
             links = 0
             parent = open_[-1][1]
+            if parent < 0:
+                if not attributes.endswith("/"):
+                    open_.append((name, -1))
+                continue
             good = bad = 0
             keep = None
-            for attribute, value in _ATTRIBUTE.findall(found[3]):
+            for attribute, value in _ATTRIBUTE.findall(attributes):
                 value = value.strip("\"'")
                 if attribute == "data-keep":
                     keep = value == "1"
@@ -136,22 +180,22 @@ class Page:
                     tokens = {t.lower() for t in _TOKEN.findall(value)}
                     good += len(tokens & GOOD_TOKENS)
                     bad += len(tokens & BAD_TOKENS)
-            self.tag.append(name)
-            self.parent.append(parent)
-            self.depth.append(self.depth[parent] + 1)
-            self.good.append(good)
-            self.bad.append(bad)
-            self.keep.append(keep)
-            for column in (self.own, self.linked, self.items):
-                column.append(0)
-            block = len(self.tag) - 1
-            self.pieces.append((block, None))
-            if not found[3].endswith("/"):
+            block = self._block(name, parent, good, bad, keep)
+            self._ends_line(block)
+            if not attributes.endswith("/"):
                 open_.append((name, block))
 
-    def _text(self, block: int, text: str, links: int) -> None:
+    def _text(self, block: int, text: str, links: int, marked: list[bool]) -> None:
+        if block < 0:
+            return
         if "&" in text:
             text = html.unescape(text)
+        if not block:
+            if text.strip():
+                if self.run is None:
+                    self.run = self._block("text", 0, keep=marked[-1] if marked else None)
+                self.breaks = 0
+            block = self.run or 0
         self.pieces.append((block, text))
         size = len(text.strip())
         self.own[block] += size
@@ -194,7 +238,7 @@ class Page:
             np.array(self.depth), np.log1p(own), np.log1p(text), text / total, links / np.maximum(text, 1),
             linked / np.maximum(own, 1), signs / np.maximum(text, 1), np.log1p(text / blocks), np.log1p(blocks), height,
             np.log1p(paragraphs), np.log1p(children), np.log1p(children[up]), place / np.maximum(children[up], 1),
-            text / np.maximum(longest[up], 1),
+            text / np.maximum(longest[up], 1), [t == "text" for t in self.tag],
         ], 1).astype(np.float64)
 
     def decode(self, raw: np.ndarray) -> np.ndarray:
@@ -210,7 +254,7 @@ class Page:
         return keep
 
     def text(self, keep: np.ndarray) -> str:
-        """Lines of the kept blocks. Text right below the page, outside of any block, isn't part of the article."""
+        """Lines of the kept blocks."""
         lines, line, last = [], [], -1
         for block, piece in self.pieces:
             if block != last or piece is None:
@@ -301,6 +345,20 @@ def made_page(rng: random.Random, lines: list[str]) -> str:
             return f"<pre>{some(1, 2)}</pre>"
         return f"<p>{some(1, 8)}</p>"
 
+    def line(keep: int) -> str:
+        if keep:
+            text = rng.choice([some(1, 6), some(2, 8), f'{some(1, 3)} <a href="/x">{short()}</a> {some(1, 2)}', f"<b>{short()}</b>"])
+        else:
+            text = rng.choice([" | ".join(f'<a href="/{i}">{short()}</a>' for i in range(rng.randint(2, 7))), f"&copy; {short()}"])
+        return f'<span data-keep="{keep}">{text}</span>' + rng.choice(["<br><br>", "<br>\n<br>", "<hr>"])
+
+    if rng.random() < 0.15:  # lines right below the page
+        inner = [f'<h1 data-keep="1">{short()}</h1>'] * (rng.random() < 0.6)
+        for _ in range(rng.choice([1, 2, 4, 8])):
+            inner.append(f'<p data-keep="1">{some(1, 6)}</p>' if rng.random() < 0.15 else line(1))
+        before, after = ([rng.choice([boiler, lambda: line(0)])() for _ in range(rng.choice([0, 0, 1, 2]))] for _ in range(2))
+        return f"<html><body>{''.join(before + inner + after)}</body></html>"
+
     inner = [f"<h1>{short()}</h1>"] * (rng.random() < 0.8)
     for _ in range(rng.choice([1, 2, 4, 8, 16])):
         inner.append(content())
@@ -386,8 +444,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages`` (page_id, url, html; other columns are ignored).
 
     text: the lines of the article, one for each block, in page order, joined by one newline; character
-    references are decoded and white space within a line becomes one space. n_chars: its code points. A null or
-    empty page, and one without an article, has an empty text. Unclosed tags end where their parent does; a page
+    references are decoded and white space within a line becomes one space. Text right below the body is judged like
+    other blocks; an empty line, made of two line breaks, ends such a block. n_chars: its code points. A null or
+    empty page, and one without an article, has an empty text. Unclosed tags end where their parent does, a drawing and a choice also where a block begins; unclosed scripts, styles,
+    titles and text areas take the rest of the page, as in a browser. A tag whose quote nothing ends, ends at its first
+    ``>``. A page
     that breaks off is read as far as it goes. Repeated rows and null ids keep their row; an empty table gives no
     rows. The sample bounds the training only; every page is read whole."""
     model = pages.sparkSession.sparkContext.broadcast(fit_blocks(pages.select("html")))

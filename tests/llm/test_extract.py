@@ -64,7 +64,7 @@ def test_choices_are_closed_under_parents(model):
 @pytest.mark.parametrize(
     "source, text",
     [
-        (None, ""), ("", ""), ("<p", ""), ("plain text", ""), ("<html><body></body></html>", ""),
+        (None, ""), ("", ""), ("<p", ""), ("plain text", "plain text"), ("<html><body></body></html>", ""),
         (
             "<html><body><nav><ul><li><a href=x>Home</a></li></ul></nav><article><h1>A &amp; B</h1><p>One &lt;two&gt;\n "
             "<b>three</b><br>four &eacute;.</p><script>var x='</p>';</script><style>p{}</style><!-- <p>no</p> -->"
@@ -89,6 +89,29 @@ def test_pages(model, source, text):
     assert extract_text(source, model) == text
 
 
+LINES = ("First line of the article, which goes on for a while.", "Second, it ends here, after some more words, as lines do.")
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        (f"<body><h1>Title</h1>{LINES[0]}<br><br>{LINES[1]}</body>", ["Title", *LINES]),
+        (f"<body><a href=/>Home</a> | <a href=/n>News</a><hr><b>{LINES[0]}</b><br><br>{LINES[1]}<footer>&copy; x</footer>", LINES),
+        (f"<article><p>{LINES[0]} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><p>{LINES[1]}</p></article>", [f"{LINES[0]} x=1", LINES[1]]),
+        *(
+            (f"<article><p>{LINES[0]} <{tag}><option>no</p><p>{LINES[1]}</p></article><footer>&copy; x</footer>", LINES)
+            for tag in ("svg", "select", "object", "canvas", "iframe")
+        ),
+        (f"<article><svg><path d='M0'/><text>no</text><p>{LINES[0]}</p><p>{LINES[1]}</p></article>", LINES),
+        (f"<article><p>{LINES[0]}</p><svg><text>no</text><foreignObject><p>no</p></foreignObject></svg><p>{LINES[1]}</p></article>", LINES),
+        (f'<article><p class="x>{LINES[0]}</p><p>{LINES[1]}</p></article>', LINES),
+        (f'<article><p class="x>{LINES[0]}</p><p class="y">{LINES[1]}</p></article>', LINES),
+    ],
+)
+def test_broken_and_plain_pages(model, source, text):
+    assert extract_text(source, model).split("\n") == list(text)
+
+
 def test_odd_rows(spark):
     long = "<article>" + "<p>word, word.</p>" * 20_000 + "</article>"
     rows = [(1, None, None, "t", 1), (None, "u", "", "t", 1), (2, "u", long, "t", 1), (2, "u", long, "t", 1)]
