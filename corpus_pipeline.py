@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from case_insights.llm.decontaminate import find_leaks
 from case_insights.llm.entry import vocabulary_path
 from case_insights.llm.jaccard import jaccard_components
-from case_insights.llm.packing import pack_by_retrieval
+from case_insights.llm.packing import pack_by_retrieval, special_tokens
 from case_insights.llm.store import documents, saved
 from case_insights.llm.substring import remove_repeats
 from case_insights.llm.toxicity import fit_toxicity, toxicity_scores, training_rows
@@ -50,7 +50,8 @@ def reject_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens, related documents together."""
-    return pack_by_retrieval(docs, byte_vocabulary(vocabulary_path()))
+    path = vocabulary_path()
+    return pack_by_retrieval(docs, byte_vocabulary(path), special=special_tokens(path))
 
 
 STAGES = [
