@@ -150,17 +150,6 @@ def _joined(column: pa.Array, chunk: int = 1 << 16):
         i = j
 
 
-def _sums(values: np.ndarray, starts: np.ndarray, keep: np.ndarray) -> np.ndarray:
-    """Sums of ``values``, which has a row for each kept place, over the runs of places that begin at ``starts``."""
-    before = np.concatenate([[0], np.cumsum(keep)])
-    at = before[starts]
-    out = np.zeros((len(starts), values.shape[1]), values.dtype)
-    full = np.flatnonzero(np.diff(np.append(at, len(values))))
-    if len(full):
-        out[full] = np.add.reduceat(values, at[full])
-    return out
-
-
 def _signatures(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """``SIGNATURE`` bits for each run of places that begins at ``starts``: those of its words."""
     ends = np.append(starts[1:], len(ids))
@@ -187,26 +176,23 @@ def _sketched(idf, random):
     """The task's sum of A'(A R), in parts."""
 
     def run(batches):
-        w, r = idf.value, random.value
-        total = np.zeros(r.shape)
+        w = idf.value
+        weighted = random.value * w[:, None]
+        total = np.zeros(weighted.shape)
         for batch in batches:
             for _, ids, first in _joined(batch.column("ids")):
                 if not len(ids):
                     continue
                 term = ids >> (16 - BITS)
                 starts = _passages(first, PASSAGE)
-                weight = w[term]
-                keep = weight > 0
-                if not keep.any():
-                    continue
-                which = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))[keep]
-                term, weight = term[keep], weight[keep]
-                weight /= np.sqrt(_sums((weight * weight)[:, None], starts, keep))[which, 0]
-                y = _sums(r[term] * weight[:, None], starts, keep)
+                square = np.add.reduceat(w[term] ** 2, starts)
+                y = np.add.reduceat(weighted[term], starts) / (square + 1e-30)[:, None]
+                which = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
                 order = np.argsort(term, kind="stable")
-                at, term = which[order], term[order]
+                term = term[order]
                 heads = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
-                total[term[heads]] += np.add.reduceat(y[at] * weight[order][:, None], heads)
+                total[term[heads]] += np.add.reduceat(y[which[order]], heads)
+        total *= w[:, None]  # each passage has unit length: its weights were divided by their norm, twice
         parts = np.split(total, _PARTS)
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(_PARTS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "sums"])
@@ -317,7 +303,6 @@ def _contains(words: np.ndarray, part: bytes) -> bool:
 def _found(items, coordinates, min_cosine: float, min_overlap: float, min_with_answer: float):
     def run(batches):
         block, c = items.value, coordinates.value
-        weighted = c.any(axis=1)
         for batch in batches:
             out = ([], [], [], [], [], [])
             docs = batch.column("doc_id").to_pylist()
@@ -326,8 +311,7 @@ def _found(items, coordinates, min_cosine: float, min_overlap: float, min_with_a
                     continue
                 starts = _passages(first, BLOCK)
                 term = ids >> (16 - BITS)
-                keep = weighted[term]
-                z = _sums(c[term[keep]], starts, keep)
+                z = np.add.reduceat(c[term], starts)
                 of = np.searchsorted(first, starts, "right") - 1
                 ends = np.append(starts[1:], len(ids))
                 best: dict[tuple[int, int], tuple] = {}
