@@ -20,20 +20,23 @@ from case_insights.llm.wordpiece import byte_vocabulary
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.7 stay. The model is fitted on labelled rows of ``docs``."""
+    """Documents that score below 0.7 stay. The model is fitted on labelled rows of ``docs``. Rows are judged one by
+    one by their text: null ids and repeated rows keep their own, a null text scores as an empty one."""
     model = fit_toxicity(training_rows(docs, documents(spark, sf_dir, "labels")))
     return toxicity_scores(docs, model, keep=True).filter("score < 0.7").select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by four fifths of their five-word shingles, the one with the smallest doc_id stays;
-    documents without words stay, as they are linked with nothing."""
+    documents without words stay, as they are linked with nothing, and so do rows without doc_id. Rows of one doc_id
+    are one document here: they stay or go together."""
     drop = jaccard_components(docs, k=5, percent=80).filter("doc_id <> component_id").select("doc_id")
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose passages that stand in an earlier document; n_chars follows. Texts without one are unchanged."""
+    """Texts lose passages that stand in an earlier document; n_chars follows. Texts without one are unchanged.
+    A null text stays null."""
     cut = remove_repeats(docs, keep=True)
     changed = F.col("n_removed") > 0
     return cut.withColumns({
@@ -43,13 +46,16 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def reject_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item stay."""
-    leaks = find_leaks(docs, documents(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold no benchmark item stay. Each row is judged by its own text, also with a null or repeated
+    doc_id; a null or empty text holds nothing."""
+    key = F.xxhash64("doc_id", "text")
+    keyed = docs.select(key.alias("doc_id"), "text")
+    leaks = find_leaks(keyed, documents(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak")).distinct()
+    return docs.join(leaks, key == F.col("leak"), "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens, related documents together."""
+    """Pieces of sequences of 1024 tokens, related documents together; a null text counts as empty."""
     path = vocabulary_path()
     return pack_by_retrieval(docs, byte_vocabulary(path), special=special_tokens(path))
 
