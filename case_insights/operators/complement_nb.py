@@ -21,6 +21,7 @@ from case_insights.functions.tokens import bucket, tokens
 from case_insights.sources.schema import NARRATIVE
 
 KEY = ["h1", "h2"]
+TEXT = ["t1", "t2"]
 
 
 def _hashes(text: Column, seed: int = 0) -> Column:
@@ -120,9 +121,9 @@ def score_texts(model: TokenModel, texts: DataFrame, frequent_share: float = 1e-
     null text scores like an empty one. Equal scores go to the earlier class.
 
     Tokens that make up ``frequent_share`` of all tokens seen or more are broadcast: there are at most
-    1 / frequent_share of them, of fixed size. Texts add them up where they are read. What is left is
-    one row per text for all of those, and one per text and rarer token; only these meet the other
-    weights. A key that many texts have and training hardly has is left to adaptive skew splitting.
+    1 / frequent_share of them, of fixed size. Texts add them up where they are read. Of what is left, each
+    occurrence meets the other weights as a row of four numbers, and nothing is kept for each pair of a text
+    and a token. A key that many texts have and training hardly has is left to adaptive skew splitting.
     Likewise the scores of texts that make up ``frequent_share`` of the rows or more are broadcast to them.
     """
     counts, totals, smoothing = model.counts, model.totals, F.lit(model.smoothing)
@@ -133,41 +134,23 @@ def score_texts(model: TokenModel, texts: DataFrame, frequent_share: float = 1e-
         *(F.log(seen - F.col(f"n{i}") + smoothing).alias(f"w{i}") for i in index),
     )
     frequent = F.lit(frequent_share) * totals["seen"]
-    near = weights.filter(F.col("seen") >= frequent).drop("seen")
-    far = weights.filter(F.col("seen") < frequent).select(
-        *KEY, F.col("hit").alias("found"), *(F.col(f"w{i}").alias(f"r{i}") for i in index)
-    )
+    near, far = weights.filter(F.col("seen") >= frequent), weights.filter(F.col("seen") < frequent)
 
     text = F.coalesce(F.col(NARRATIVE), F.lit(""))
-    named = texts.select("id", _hashes(text, 2).alias("text_key"), text.alias(NARRATIVE))
-    distinct = named.groupBy("text_key").agg(F.first(NARRATIVE).alias(NARRATIVE), F.count(F.lit(1)).alias("copies"))
-    words = distinct.select("text_key", "copies", F.explode_outer(_keys(F.col(NARRATIVE), model.buckets)).alias("key"))
-    # A text's own row of frequent tokens has no partner. The text's hashes stand in for a token's (with buckets,
-    # whose second hash is 0, an odd one does), so that those rows spread too.
-    own = F.struct(F.col("text_key.h1").alias("h1"), F.col("text_key.h2").bitwiseOR(F.lit(1)).alias("h2"))
-    per_text = (
-        words.select("text_key", "copies", "key.*")
-        .join(F.broadcast(near), KEY, "left")
-        .withColumn("rest", F.when(F.col("hit").isNull() & F.col("h1").isNotNull(), F.struct(*KEY)))
-        .groupBy("text_key", "copies", F.coalesce("rest", own).alias("key"))
-        .agg(
-            F.count("h1").alias("tf"),
-            F.count("hit").alias("known"),
-            *(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"w{i}") for i in index),
-        )
-        .select("text_key", "copies", "key.*", "tf", "known", *(f"w{i}" for i in index))
-    )
-    tf = F.when(F.col("found").isNotNull(), F.col("tf")).otherwise(0)
-    sums = (
-        per_text.join(far, KEY, "left")
-        .groupBy("text_key", "copies")
-        .agg(
-            F.sum(F.col("known") + tf).alias("known"),
-            *(F.sum(F.col(f"w{i}") + tf * F.coalesce(f"r{i}", F.lit(0.0))).alias(f"w{i}") for i in index),
-        )
-    )
+    named = texts.select("id", _hashes(text, 2).alias("text_key"), text.alias(NARRATIVE)).select("id", "text_key.*", NARRATIVE)
+    named = named.withColumnsRenamed(dict(zip(KEY, TEXT)))
+    distinct = named.groupBy(*TEXT).agg(F.first(NARRATIVE).alias(NARRATIVE), F.count(F.lit(1)).alias("copies"))
+    keys = _keys(F.col(NARRATIVE), model.buckets)
+    own = [*TEXT, "copies"]
+    words = distinct.select(*own, F.explode_outer(keys).alias("key")).select(*own, "key.*")
+    added = [F.count("hit").alias("known"), *(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"w{i}") for i in index)]
+    frequently = words.join(F.broadcast(near), KEY, "left").groupBy(*own).agg(*added)
+    rare = distinct.select(*own, F.explode(keys).alias("key")).select(*own, "key.*")
+    rare = rare.join(F.broadcast(near.select(*KEY)), KEY, "left_anti")
+    rarely = rare.join(far, KEY).groupBy(*own).agg(*added)
+    sums = frequently.unionByName(rarely).groupBy(*own).agg(*(F.sum(c).alias(c) for c in ("known", *(f"w{i}" for i in index))))
     scores = sums.select(
-        "text_key", "copies",
+        *TEXT, "copies",
         *(
             F.when(totals["v"] == 0, 0.0)
             .otherwise(
@@ -179,17 +162,18 @@ def score_texts(model: TokenModel, texts: DataFrame, frequent_share: float = 1e-
         ),
     )
     many = F.lit(frequent_share) * texts.agg(F.count(F.lit(1))).scalar()
-    return _to_rows(named.select("id", "text_key"), _decide(scores, model.classes), many)
+    return _to_rows(named.select("id", *TEXT), _decide(scores, model.classes), many)
 
 
 def _to_rows(named: DataFrame, decided: DataFrame, many: Column) -> DataFrame:
     """The scores of each text for all of its rows. Those of texts with ``many`` rows are broadcast."""
     often = (F.col("copies") >= many) & (F.col("copies") > 1)
-    near = decided.filter(often).select("text_key", F.col("prediction").alias("p"), F.col("prob_max").alias("m"))
-    far = decided.filter(~often).select(F.col("text_key").alias("rest"), "prediction", "prob_max")
-    met = named.join(F.broadcast(near), "text_key", "left")
+    near = decided.filter(often).select(*TEXT, F.col("prediction").alias("p"), F.col("prob_max").alias("m"))
+    far = decided.filter(~often).select(F.struct(*TEXT).alias("rest"), "prediction", "prob_max")
+    met = named.join(F.broadcast(near), TEXT, "left")
     # rows that are served have no partner left; their ids spread them
-    met = met.withColumn("rest", F.when(F.col("p").isNull(), F.col("text_key")).otherwise(_hashes(F.col("id").cast("string"), 4)))
+    other = _hashes(F.col("id").cast("string"), 4)
+    met = met.withColumn("rest", F.when(F.col("p").isNull(), F.struct(*TEXT)).otherwise(F.struct(*(other[k].alias(t) for k, t in zip(KEY, TEXT)))))
     found = met.join(far, "rest", "left")
     return found.select("id", F.coalesce("p", "prediction").alias("prediction"), F.coalesce("m", "prob_max").alias("prob_max"))
 
@@ -202,4 +186,4 @@ def _decide(scores: DataFrame, classes: Sequence[float]) -> DataFrame:
         *(F.when(F.col(s) >= best - 1e-9, F.lit(float(c))) for s, c in zip(names, classes))
     )
     odds = sum(F.exp(F.col(s) - best) for s in names)
-    return scores.select("text_key", "copies", prediction.alias("prediction"), (100 / odds).alias("prob_max"))
+    return scores.select(*TEXT, "copies", prediction.alias("prediction"), (100 / odds).alias("prob_max"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from case_insights.functions.chi2_tail import upper_gamma
 from case_insights.operators.chi2 import chi2
-from case_insights.operators.complement_nb import complement_nb
+from case_insights.operators.complement_nb import complement_nb, token_counts
 from case_insights.operators.contingency import contingency, expected, pair_cells
 from case_insights.operators.fisher import fisher_exact
 from case_insights.plans import text, trends
@@ -278,6 +278,24 @@ def test_smoothing_values_are_scored_as_one_by_one(spark):
         tune_smoothing(train, "kind", buckets=1 << 20)
 
 
+def test_scores_keep_no_row_for_each_text_and_token(spark):
+    """Aggregates are by token, or by text; rare words that a text repeats count as often as they occur."""
+    rows = [(i, f"common rare{i % 5} rare{i % 5} odd{i} odd{i} odd{i}", float(i % 2)) for i in range(60)]
+    train = spark.createDataFrame(rows, f"id long, {NARRATIVE} string, label double")
+    split = complement_nb(train, train, frequent_share=0.1)
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    by = [x.split("]")[0] for x in plan.split("Aggregate [")[1:]]
+    assert by and not any("_groupingexpression" in x or ("h1#" in x and x.count("#") > 2) for x in by)
+    whole = {r.id: (r.prediction, pytest.approx(r.prob_max)) for r in complement_nb(train, train, frequent_share=0.0).collect()}
+    assert {r.id: (r.prediction, r.prob_max) for r in split.collect()} == whole
+
+
+def test_counts_by_bucket_serve_joins_and_totals_alike(spark):
+    """A key that may be null would get a filter below the counts in a join, so that totals count a second time."""
+    train = _texts(spark)
+    assert not any(f.nullable for f in token_counts(train, (0.0, 1.0), buckets=64).schema if f.name in ("h1", "h2"))
+
+
 def test_feature_sets_count_repeated_rows(spark):
     train = _texts(spark).withColumn("kind", F.lit("k"))
     once = {r.feature_set: r.accuracy for r in compare_feature_sets(train, "kind").collect()}
