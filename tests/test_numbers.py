@@ -278,6 +278,17 @@ def test_smoothing_values_are_scored_as_one_by_one(spark):
         tune_smoothing(train, "kind", buckets=1 << 20)
 
 
+def test_texts_are_cut_once_for_all_counts_and_scores(spark, tmp_path, monkeypatch):
+    from case_insights.sources import scratch
+
+    monkeypatch.setattr(scratch, "scratch_dir", lambda spark, name: str(tmp_path / name))
+    grid = tune_smoothing(_texts(spark).withColumn("kind", F.lit("k")), "kind", (0.5, 1.0))
+    assert [p.name for p in tmp_path.iterdir()] == ["accuracies"]  # the rows' buckets and their counts are gone
+    plan = grid._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and NARRATIVE not in plan
+    assert grid.count() == 8
+
+
 def test_scores_keep_no_row_for_each_text_and_token(spark):
     """Aggregates are by token, or by text; rare words that a text repeats count as often as they occur."""
     rows = [(i, f"common rare{i % 5} rare{i % 5} odd{i} odd{i} odd{i}", float(i % 2)) for i in range(60)]
