@@ -1,9 +1,11 @@
 import hashlib
 import itertools
+import math
 import random
 
 import pytest
 
+from case_insights.llm import jaccard
 from case_insights.llm.graph import components
 from case_insights.llm.jaccard import jaccard_components
 from case_insights.llm.substring import SuffixAutomaton, remove_repeats
@@ -51,6 +53,45 @@ def test_components_of_all_links(docs, texts, leaders):
     assert sorted((repr(r.doc_id), r.n_shingles, r.component_id) for r in found.collect()) == expected
 
 
+def test_pairs_of_long_rows_are_made_once(spark, monkeypatch):
+    """Versions of a long text that stay just below the bound, and a few above: the last product makes a pair once or
+    twice, not for each n-gram that both have, and texts are cut into sets three times, whatever the number of turns."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    texts = []
+    for i in range(24):
+        words = list(base)
+        for at in rng.sample(range(600), 3 if i % 6 == 0 else 16):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [_sets(t) for t in texts]
+    group = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            old, new = max(group[a], group[b]), min(group[a], group[b])
+            group = [new if g == old else g for g in group]
+
+    made, cuts = [], []
+    product, wanted = jaccard._product, jaccard._wanted_sets
+    distinct = jaccard.DataFrame.distinct
+
+    def counted(*args):
+        with monkeypatch.context() as m:
+            m.setattr(type(docs), "distinct", lambda df: df)
+            out = product(*args)
+        made.append(out.count())
+        return distinct(out)
+
+    monkeypatch.setattr(jaccard, "_product", counted)
+    monkeypatch.setattr(jaccard, "_wanted_sets", lambda *args: cuts.append(1) or wanted(*args))
+    found = {r.doc_id: r.component_id for r in jaccard_components(docs, leaders=(1,)).collect()}
+    assert found == dict(enumerate(group))
+    assert len(set(group)) > 10
+    assert 0 < made[-1] <= 2 * math.comb(len(texts), 2)
+    assert cuts == [1]
+
+
 def test_no_documents(no_docs):
     assert jaccard_components(no_docs).collect() == []
     assert remove_repeats(no_docs).collect() == []
