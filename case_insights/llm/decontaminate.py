@@ -59,6 +59,26 @@ def _passages(first: np.ndarray, size: int) -> np.ndarray:
     return first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs)) * size
 
 
+def _sums(rows: np.ndarray, which: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Sums of ``rows[which]`` over the runs of places that begin at ``starts``. Runs are cut into parts of ``width`` places,
+    and parts are added up place by place: for rows of some dozens of numbers ten times as fast as ``reduceat``."""
+    length = np.diff(np.append(starts, len(which)))
+    parts = -(-length // width)
+    first = np.cumsum(parts) - parts
+    within = (np.arange(parts.sum()) - np.repeat(first, parts)) * width
+    begin, length = np.repeat(starts, parts) + within, np.minimum(np.repeat(length, parts) - within, width)
+    out = rows.take(which[begin], axis=0)
+    rest = np.zeros_like(out)
+    for j in range(1, int(length.max(initial=0))):
+        live = np.flatnonzero(length > j)
+        if len(live) == len(length):
+            rest += rows.take(which[begin + j], axis=0)
+        else:
+            rest[live] += rows.take(which[begin[live] + j], axis=0)
+    out += rest
+    return out if len(out) == len(starts) else _sums(out, np.arange(len(out)), first, width)
+
+
 def _runs(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the runs of ``k`` words that begin at each place with as many left."""
     return W.run_hashes(h, k)[: max(0, len(h) - k + 1)]
@@ -111,7 +131,7 @@ def _read(short):
                 rows += [ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
                 starts = _passages(first, PASSAGE)
                 which = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-                pairs = np.unique((which << BITS) | (ids >> (16 - BITS)))
+                pairs = np.unique(((which << BITS) | (ids >> (16 - BITS))).astype(np.uint32 if len(starts) < 1 << 32 - BITS else np.int64))
                 holders += np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
                 passages += len(starts)
                 hits += [(docs[done + r], *found) for r, *found in _exact(h, first, short.value)]
@@ -186,12 +206,12 @@ def _sketched(idf, random):
                 term = ids >> (16 - BITS)
                 starts = _passages(first, PASSAGE)
                 square = np.add.reduceat(w[term] ** 2, starts)
-                y = np.add.reduceat(weighted[term], starts) / (square + 1e-30)[:, None]
+                y = _sums(weighted, term, starts, PASSAGE) / (square + 1e-30)[:, None]
                 which = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
                 order = np.argsort(term, kind="stable")
                 term = term[order]
                 heads = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
-                total[term[heads]] += np.add.reduceat(y[which[order]], heads)
+                total[term[heads]] += _sums(y, which[order], heads, 8)
         total *= w[:, None]  # each passage has unit length: its weights were divided by their norm, twice
         parts = np.split(total, _PARTS)
         yield pa.RecordBatch.from_arrays(
@@ -311,7 +331,7 @@ def _found(items, coordinates, min_cosine: float, min_overlap: float, min_with_a
                     continue
                 starts = _passages(first, BLOCK)
                 term = ids >> (16 - BITS)
-                z = np.add.reduceat(c[term], starts)
+                z = _sums(c, term, starts, BLOCK)
                 of = np.searchsorted(first, starts, "right") - 1
                 ends = np.append(starts[1:], len(ids))
                 best: dict[tuple[int, int], tuple] = {}

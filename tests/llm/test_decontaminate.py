@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from case_insights.llm.decontaminate import _any_of, _signatures, common_subsequence, find_leaks
+from case_insights.llm.decontaminate import _any_of, _signatures, _sums, common_subsequence, find_leaks
 from case_insights.llm.entry import queries
 
 SF = "/root/testdata/sf0.1"
@@ -111,3 +111,13 @@ def test_signatures_bound_the_words_in_common():
         item = np.concatenate([rng.choice(near, 10), rng.integers(0, 1 << 16, 20).astype(np.uint16)])
         missing = np.bitwise_count(_signatures(item, np.array([0]))[0] & ~runs[at]).sum()
         assert len(item) - missing >= np.isin(item, near).sum()
+
+
+def test_sums_of_runs():
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(50, 7))
+    for lengths in ([1], [8, 8, 3], rng.integers(1, 90, 40).tolist(), [1000, 1, 2]):
+        which = rng.integers(0, 50, sum(lengths))
+        starts = np.cumsum([0, *lengths[:-1]])
+        for width in (2, 8, 32):
+            assert np.allclose(_sums(rows, which, starts, width), np.add.reduceat(rows[which], starts))
